@@ -59,8 +59,8 @@ def _position_large(df: DataFrame, group: list[str], sizes: DataFrame, order: Se
 
 
 def _attach(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
-    # Without group columns ``right`` is a single aggregate row.
-    return left.join(right, group, "left") if group else left.crossJoin(F.broadcast(right))
+    # Without group columns ``right`` is one aggregate value.
+    return left.join(right, group, "left") if group else left.withColumn(right.columns[0], right.scalar())
 
 
 def _from_buckets(bucketed: DataFrame, group: list[str], order: Sequence[Column], out: str) -> DataFrame:

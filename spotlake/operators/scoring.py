@@ -36,8 +36,12 @@ def gene_moments(x: DataFrame, n_spots: DataFrame) -> DataFrame:
 
 
 def members_present(var: DataFrame, gene_sets: DataFrame) -> DataFrame:
-    """(sample, pathway, gene, times): genes of a set that the sample measures; repeats count."""
-    sets = gene_sets.groupBy("pathway", "gene").agg(F.count(F.lit(1)).alias("times"))
+    """(sample, pathway, gene, times, weight): genes of a set that the sample measures; repeats count.
+
+    An optional ``weight`` column of the sets turns the plain mean into a weighted mean.
+    """
+    weight = F.sum("weight") if "weight" in gene_sets.columns else F.count(F.lit(1)).cast("double")
+    sets = gene_sets.groupBy("pathway", "gene").agg(F.count(F.lit(1)).alias("times"), weight.alias("weight"))
     return var.select("sample_id", "gene").distinct().join(sets, "gene")
 
 
@@ -53,22 +57,23 @@ def score_pathways(
     member = members_present(var, gene_sets).join(moments, ["sample_id", "gene"], "left")
     shift = member.groupBy("sample_id", "pathway").agg(
         F.sum("times").alias("n_genes"),
-        F.sum(F.coalesce(F.col("times") * F.col("mu") / F.col("sigma"), F.lit(0.0))).alias("shift"))
+        F.sum("weight").alias("total_weight"),
+        F.sum(F.coalesce(F.col("weight") * F.col("mu") / F.col("sigma"), F.lit(0.0))).alias("shift"))
     # A set without any member present still has to be listed, with 0 genes.
     per_sample = (
         with_each(n_spots.select("sample_id"), gene_sets, "pathway")
         .join(shift, ["sample_id", "pathway"], "left")
-        .na.fill({"n_genes": 0, "shift": 0.0})
+        .na.fill({"n_genes": 0, "shift": 0.0, "total_weight": 1.0})
         .withColumn("scored", F.col("n_genes") >= F.lit(min_genes)))
     part = (
         x.join(member.filter(F.col("sigma").isNotNull()).select(
-            "sample_id", "gene", "pathway", (F.col("times") / F.col("sigma")).alias("w")), ["sample_id", "gene"])
+            "sample_id", "gene", "pathway", (F.col("weight") / F.col("sigma")).alias("w")), ["sample_id", "gene"])
         .groupBy(*SPOT, "pathway").agg(F.sum(F.col("x") * F.col("w")).alias("part")))
     scores = (
         spots.select(*SPOT).join(per_sample, "sample_id")
         .join(part, [*SPOT, "pathway"], "left")
         .select(*SPOT, "pathway", F.when(
-            F.col("scored"), (F.coalesce(F.col("part"), F.lit(0.0)) - F.col("shift")) / F.col("n_genes")
+            F.col("scored"), (F.coalesce(F.col("part"), F.lit(0.0)) - F.col("shift")) / F.col("total_weight")
         ).otherwise(0.0).alias("score")))
     return scores, per_sample.select("sample_id", "pathway", "n_genes", "scored")
 
