@@ -69,7 +69,7 @@ def run_summary(table: DataFrame, loss: str = "val_loss") -> DataFrame:
     rest = [c for c in table.columns if c != "run_name"]
     return table.groupBy("run_name").agg(
         F.min(loss).alias("best_loss"),
-        F.min_by("epoch", F.struct(loss, "epoch")).alias("best_epoch"),
+        F.min_by("epoch", F.when(F.col(loss).isNotNull(), F.struct(loss, "epoch"))).alias("best_epoch"),
         F.count(F.lit(1)).alias("epochs_completed"),
         F.max_by(F.struct(*rest), "epoch").alias("last"))
 
