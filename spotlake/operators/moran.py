@@ -43,7 +43,7 @@ def gene_morans(
                 F.when((F.col("n") < k + 1) | F.col("m").isNull(), F.lit(0.0)).otherwise(statistic).alias("morans_i")))
 
 
-def packed_morans(edges: DataFrame, packed: DataFrame, n_values: int, k: int) -> DataFrame:
+def packed_morans(edges: DataFrame, packed: DataFrame, k: int) -> DataFrame:
     """Moran's I per (sample, position) of one array of values per spot.
 
     ``packed`` has (sample_id, barcode, v array<double>). The edge join moves one array per edge end and
@@ -67,7 +67,7 @@ def packed_morans(edges: DataFrame, packed: DataFrame, n_values: int, k: int) ->
 def value_morans(points: DataFrame, column: str, k: int = 6) -> DataFrame:
     """Moran's I of one column of ``points`` per sample."""
     packed = points.select(*SPOT, F.array(F.col(column).cast("double")).alias("v"))
-    return packed_morans(knn_edges(points, k), packed, 1, k).select("sample_id", "morans_i")
+    return packed_morans(knn_edges(points, k), packed, k).select("sample_id", "morans_i")
 
 
 def pack_scores(scores: DataFrame, value: str = "score") -> DataFrame:
@@ -86,9 +86,15 @@ def pathway_morans(
 ) -> DataFrame:
     """Moran's I per (sample, pathway) of scores that are complete for every spot; negatives become 0."""
     edges = knn_edges(points, k) if edges is None else edges
-    out = packed_morans(edges, pack_scores(scores), 0, k).join(_names(scores), "pos")
+    out = packed_morans(edges, pack_scores(scores), k)
+    return named_morans(out, scores.agg(F.array_sort(F.collect_set("pathway")).alias("n")), clip)
+
+
+def named_morans(stats: DataFrame, names: DataFrame, clip: bool = True) -> DataFrame:
+    """Positions to pathway names; ``names`` is one row with the name array."""
     value = clipped_at_zero(F.col("morans_i")) if clip else F.col("morans_i")
-    return out.select("sample_id", "pathway", value.alias("morans_i"))
+    return stats.select(
+        "sample_id", F.element_at(names.scalar(), F.col("pos") + 1).alias("pathway"), value.alias("morans_i"))
 
 
 def mean_gene_morans(per_sample: DataFrame) -> DataFrame:
@@ -117,7 +123,7 @@ def spatial_coherence(points: DataFrame, predictions: DataFrame, k: int = 6, top
         F.array_sort(F.collect_list(F.struct("pathway", "target", "pred"))).alias("a"))
     both = width.select(*SPOT, F.concat(
         F.transform("a", lambda e: e.target), F.transform("a", lambda e: e.pred)).alias("v"), F.size("a").alias("p"))
-    stats = packed_morans(edges, both.select(*SPOT, "v"), 0, k)
+    stats = packed_morans(edges, both.select(*SPOT, "v"), k)
     names = _names(predictions)
     n_names = names.agg(F.count(F.lit(1))).scalar()
     truth = stats.filter(F.col("pos") < n_names).join(names, "pos")

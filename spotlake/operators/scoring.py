@@ -35,47 +35,78 @@ def gene_moments(x: DataFrame, n_spots: DataFrame) -> DataFrame:
         F.when(variance > 0, F.sqrt(variance)).otherwise(1.0).alias("sigma"))
 
 
-def members_present(var: DataFrame, gene_sets: DataFrame) -> DataFrame:
-    """(sample, pathway, gene, times, weight): genes of a set that the sample measures; repeats count.
+def set_weights(gene_sets: DataFrame) -> DataFrame:
+    """(pathway, gene, times, weight): a gene listed twice in a set counts twice.
 
     An optional ``weight`` column of the sets turns the plain mean into a weighted mean.
     """
     weight = F.sum("weight") if "weight" in gene_sets.columns else F.count(F.lit(1)).cast("double")
-    sets = gene_sets.groupBy("pathway", "gene").agg(F.count(F.lit(1)).alias("times"), weight.alias("weight"))
-    return var.select("sample_id", "gene").distinct().join(sets, "gene")
+    return gene_sets.groupBy("pathway", "gene").agg(F.count(F.lit(1)).alias("times"), weight.alias("weight"))
+
+
+def set_sizes(samples: DataFrame, var: DataFrame, gene_sets: DataFrame, min_genes: int = 5) -> DataFrame:
+    """(sample_id, pathway, n_genes, total_weight, scored) for every set and sample; reads no counts.
+
+    A set without any member present is listed with 0 genes.
+    """
+    present = var.select("sample_id", "gene").distinct().join(set_weights(gene_sets), "gene").groupBy("sample_id", "pathway").agg(
+        F.sum("times").alias("n_genes"), F.sum("weight").alias("total_weight"))
+    return (
+        with_each(samples.select("sample_id").distinct(), gene_sets, "pathway")
+        .join(present, ["sample_id", "pathway"], "left")
+        .na.fill({"n_genes": 0, "total_weight": 1.0})
+        .withColumn("scored", F.col("n_genes") >= F.lit(min_genes)))
+
+
+def packed_scores(
+    spots: DataFrame, x: DataFrame, gene_sets: DataFrame, sizes: DataFrame
+) -> DataFrame:
+    """``spots`` plus ``s``, an array of (pathway, score) in name order with all sets of the catalogue.
+
+    Counts are shuffled twice, by (sample, gene) to meet their weights and by spot to be summed; the
+    complete result has one row per spot. Sets that are not scored hold 0.
+    """
+    n_spots = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_spots"))
+    weights = set_weights(gene_sets)
+    moments = gene_moments(x, n_spots)
+    # genes without counts have mean 0 and need no row here
+    shift = moments.join(weights, "gene").groupBy("sample_id", "pathway").agg(
+        F.sum(F.col("weight") * F.col("mu") / F.col("sigma")).alias("shift"))
+    sets = sizes.join(shift, ["sample_id", "pathway"], "left").groupBy("sample_id").agg(
+        F.array_sort(F.collect_list(F.struct(
+            "pathway", "scored", F.coalesce("shift", F.lit(0.0)).alias("shift"), "total_weight"))).alias("sets"))
+    part = (
+        x.join(moments.select("sample_id", "gene", "sigma"), ["sample_id", "gene"])
+        .select(*SPOT, "gene", (F.col("x") / F.col("sigma")).alias("xs"))
+        .join(weights, "gene")
+        .select(*SPOT, "pathway", (F.col("xs") * F.col("weight")).alias("xw"))
+        .repartition(*SPOT)  # serves both groupings below
+        .groupBy(*SPOT, "pathway").agg(F.sum("xw").alias("part"))
+        .groupBy(*SPOT).agg(F.map_from_entries(F.collect_list(F.struct("pathway", "part"))).alias("parts")))
+
+    def score(e):
+        got = F.coalesce(F.try_element_at("parts", e.pathway), F.lit(0.0))
+        return F.struct(e.pathway.alias("pathway"), F.when(
+            e.scored, (got - e.shift) / e.total_weight).otherwise(0.0).alias("score"))
+
+    return spots.join(part, SPOT, "left").join(sets, "sample_id").select(
+        *spots.columns, F.transform("sets", score).alias("s"))
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    return packed.select(*SPOT, F.explode("s").alias("e")).select(*SPOT, "e.pathway", "e.score")
 
 
 def score_pathways(
     spots: DataFrame, x: DataFrame, var: DataFrame, gene_sets: DataFrame, min_genes: int = 5
 ) -> tuple[DataFrame, DataFrame]:
-    """Scores per (spot, pathway) and the scored-pathway table per sample.
+    """Scores per (spot, pathway) and the set sizes per sample.
 
     Sets with fewer than ``min_genes`` members present score 0 everywhere and are not counted as scored.
     """
-    n_spots = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_spots"))
-    moments = gene_moments(x, n_spots)
-    member = members_present(var, gene_sets).join(moments, ["sample_id", "gene"], "left")
-    shift = member.groupBy("sample_id", "pathway").agg(
-        F.sum("times").alias("n_genes"),
-        F.sum("weight").alias("total_weight"),
-        F.sum(F.coalesce(F.col("weight") * F.col("mu") / F.col("sigma"), F.lit(0.0))).alias("shift"))
-    # A set without any member present still has to be listed, with 0 genes.
-    per_sample = (
-        with_each(n_spots.select("sample_id"), gene_sets, "pathway")
-        .join(shift, ["sample_id", "pathway"], "left")
-        .na.fill({"n_genes": 0, "shift": 0.0, "total_weight": 1.0})
-        .withColumn("scored", F.col("n_genes") >= F.lit(min_genes)))
-    part = (
-        x.join(member.filter(F.col("sigma").isNotNull()).select(
-            "sample_id", "gene", "pathway", (F.col("weight") / F.col("sigma")).alias("w")), ["sample_id", "gene"])
-        .groupBy(*SPOT, "pathway").agg(F.sum(F.col("x") * F.col("w")).alias("part")))
-    scores = (
-        spots.select(*SPOT).join(per_sample, "sample_id")
-        .join(part, [*SPOT, "pathway"], "left")
-        .select(*SPOT, "pathway", F.when(
-            F.col("scored"), (F.coalesce(F.col("part"), F.lit(0.0)) - F.col("shift")) / F.col("total_weight")
-        ).otherwise(0.0).alias("score")))
-    return scores, per_sample.select("sample_id", "pathway", "n_genes", "scored")
+    sizes = set_sizes(spots, var, gene_sets, min_genes)
+    scores = unpacked(packed_scores(spots.select(*SPOT), x, gene_sets, sizes))
+    return scores, sizes.select("sample_id", "pathway", "n_genes", "scored")
 
 
 def scored_counts(per_sample: DataFrame) -> DataFrame:
