@@ -238,10 +238,10 @@ _ART = """SELECT run_name, split_part(path, '/', -1) AS filename, regexp_extract
  WHERE regexp_matches(path, '[^/]*_epoch_[0-9]+[.]png$')"""
 
 
-@query("src_20_artifact_listing", "SELECT run_name, filename, sample, epoch, epoch_us(mtime) AS mtime FROM d_art", i="mtime", d_art=_ART)
+@query("src_20_artifact_listing", "SELECT run_name, filename, sample, epoch, strftime(mtime, '%Y-%m-%d %H:%M:%S') AS mtime FROM d_art", d_art=_ART)
 def _(b: Bindings):
     parsed = runs.sort_artifacts(runs.parse_artifacts(b.artifacts))
-    return parsed.withColumn("mtime", F.unix_micros(F.col("mtime").cast("timestamp")))
+    return parsed.withColumn("mtime", F.date_format("mtime", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("src_21_run_discovery", """SELECT DISTINCT 'run_name=' || run_name AS run_name FROM b_metrics_long

@@ -31,19 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     A local session without one gets a fresh temporary folder; a cluster session without one is
     refused, because a machine-local folder would be lost with its machine.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    path = tempfile.mkdtemp(prefix="spotlake-")
-    spark.conf.set("spark.checkpoint.dir", path) if _settable(spark) else None
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def _settable(spark: SparkSession) -> bool:
-    return spark.conf.isModifiable("spark.checkpoint.dir")
+    if not configured and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        configured = tempfile.mkdtemp(prefix="spotlake-")
+    if configured and not context.getCheckpointDir():
+        context.setCheckpointDir(configured)
+    return (configured or context.getCheckpointDir()).rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
