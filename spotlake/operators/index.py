@@ -34,15 +34,23 @@ def position(
     rows are drawn by hash, so every run and every retry draws the same ones.
     """
     group = list(group)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")) if group else df.agg(
-        F.count(F.lit(1)).alias("__n"))
-    largest = sizes.agg(F.max("__n")).first()[0] or 0
-    if largest <= rows_per_task:
+    sizes = _sizes(df, group)
+    if (sizes.agg(F.max("__n")).first()[0] or 0) <= rows_per_task:
         spec = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
         return df.withColumn(out, (F.row_number().over(spec.orderBy(*order)) - 1).cast("bigint"))
     return _position_large(df, group, sizes, order, out)
 
 
+def _sizes(df: DataFrame, group: list[str]) -> DataFrame:
+    count = F.count(F.lit(1)).alias("__n")
+    return df.groupBy(*group).agg(count) if group else df.agg(count)
+
+
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows of the largest group; one small aggregation job."""
+    return _sizes(df, list(group)).agg(F.max("__n")).first()[0] or 0
+
+
 def _position_large(df: DataFrame, group: list[str], sizes: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
     # Order columns become one comparable struct; descending columns must be negated by the caller.
     keyed = df.withColumn("__o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotlake.operators.index import ROWS_PER_TASK, largest_group, position
+
 RUN_METRIC = ["run_name", "metric"]
 
 
@@ -28,40 +30,79 @@ def only_runs(df: DataFrame, runs: list[str]) -> DataFrame:
     return df.filter(F.col("run_name").isin(*runs))
 
 
-def moving_average(metrics: DataFrame, window: int) -> DataFrame:
-    """Trailing mean over the last ``window`` logged epochs of each (run, metric); nulls are left out first."""
+def moving_average(metrics: DataFrame, window: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Trailing mean over the last ``window`` logged epochs of each (run, metric); nulls are left out first.
+
+    A very long curve is cut into pieces that overlap by ``window - 1`` rows.
+    """
     if not 1 <= window <= 50:
         raise ValueError("window must be between 1 and 50")
+    rows = metrics.filter(F.col("value").isNotNull())
     trail = Window.partitionBy(*RUN_METRIC).orderBy("epoch").rowsBetween(-(window - 1), 0)
-    return metrics.filter(F.col("value").isNotNull()).withColumn("smoothed", F.avg("value").over(trail))
-
-
-def best_so_far(losses: DataFrame) -> DataFrame:
-    """Best earlier loss and whether the epoch is a new best (strictly lower), per run."""
-    earlier = Window.partitionBy("run_name").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    return losses.withColumn("best_before", F.min("val_loss").over(earlier)).withColumn(
-        "is_best", F.col("best_before").isNull() | (F.col("val_loss") < F.col("best_before")))
-
-
-def early_stop(losses: DataFrame, patience: int = 15, min_delta: float = 0.0) -> DataFrame:
+    if largest_group(rows, RUN_METRIC) <= rows_per_task:
+        return rows.withColumn("smoothed", F.avg("value").over(trail))
+    piece = max(rows_per_task, window)
+    placed = position(rows, RUN_METRIC, [F.col("epoch")], "__pos", rows_per_task)
+    own = F.floor(F.col("__pos") / piece)
+    tail = F.col("__pos") % piece >= piece - (window - 1)
+    copies = placed.withColumn("__own", own).withColumn(
+        "__piece", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
+    inside = Window.partitionBy(*RUN_METRIC, "__piece").orderBy("epoch").rowsBetween(-(window - 1), 0)
+    return copies.withColumn("smoothed", F.avg("value").over(inside)).filter(
+        F.col("__piece") == F.col("__own")).drop("__pos", "__own", "__piece")
+
+
+def best_so_far(losses: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Best earlier loss and whether the epoch is a new best (strictly lower), per run.
+
+    A very long run is cut into pieces: the best earlier loss is the lower of the best inside the piece
+    and the best of all pieces before.
+    """
+    def earlier(*keys: str):
+        return Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+
+    if largest_group(losses, ["run_name"]) <= rows_per_task:
+        out = losses.withColumn("best_before", F.min("val_loss").over(earlier("run_name")))
+    else:
+        placed = position(losses, ["run_name"], [F.col("epoch")], "__pos", rows_per_task)
+        cut = placed.withColumn("__piece", F.floor(F.col("__pos") / rows_per_task))
+        pieces = cut.groupBy("run_name", "__piece").agg(F.min("val_loss").alias("__m"))
+        before = Window.partitionBy("run_name").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        pieces = pieces.select("run_name", "__piece", F.min("__m").over(before).alias("__prev"))
+        out = cut.withColumn("__in", F.min("val_loss").over(earlier("run_name", "__piece"))).join(
+            pieces, ["run_name", "__piece"]).withColumn("best_before", F.least("__in", "__prev")).drop(
+            "__pos", "__piece", "__in", "__prev")
+    return out.withColumn(
+        "is_best", F.col("val_loss").isNotNull() & (F.col("best_before").isNull() | (F.col("val_loss") < F.col("best_before"))))
+
+
+def early_stop(
+    losses: DataFrame, patience: int = 15, min_delta: float = 0.0, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Epoch at which patience ends, per run; NULL when the run is never stopped.
 
-    A fold over the epochs of a run, because ``min_delta`` makes the best value depend on the path.
+    ``min_delta`` makes the best value depend on the path, so this is a fold. Only a loss below all
+    earlier losses can be accepted, hence the fold walks over these records and not over all epochs: the
+    last accepted position plus ``patience`` is the stop unless a record is accepted before.
     """
-    history = losses.groupBy("run_name").agg(F.array_sort(F.collect_list(F.struct("epoch", "val_loss"))).alias("h"))
-    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("wait"), F.lit(None).cast("int").alias("stop"))
-
-    def step(s: Column, e: Column) -> Column:
-        better = e.val_loss < s.best - F.lit(float(min_delta))
-        wait = F.when(better, F.lit(0)).otherwise(s.wait + 1)
-        running = s.stop.isNull()
-        return F.struct(
-            F.when(running & better, e.val_loss).otherwise(s.best).alias("best"),
-            F.when(running, wait).otherwise(s.wait).alias("wait"),
-            F.when(running & (wait >= patience), e.epoch.cast("int")).otherwise(s.stop).alias("stop"))
-
-    return history.select("run_name", F.aggregate("h", start, step).alias("s")).select(
-        "run_name", F.col("s.stop").alias("stop_epoch"), F.col("s.best").alias("best_loss"))
+    placed = position(losses, ["run_name"], [F.col("epoch")], "pos", rows_per_task)
+    records = best_so_far(placed, rows_per_task).filter("is_best").groupBy("run_name").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "val_loss"))).alias("h"))
+    start = F.struct(
+        F.lit(float("inf")).alias("best"), F.lit(-1).cast("bigint").alias("at"), F.lit(False).alias("stopped"))
+
+    def step(s: Column, r: Column) -> Column:
+        over = s.stopped | (r.pos > s.at + patience)
+        better = ~over & (r.val_loss < s.best - F.lit(float(min_delta)))
+        return F.struct(F.when(better, r.val_loss).otherwise(s.best).alias("best"),
+                        F.when(better, r.pos).otherwise(s.at).alias("at"), over.alias("stopped"))
+
+    state = records.select("run_name", F.aggregate("h", start, step).alias("s")).select(
+        "run_name", F.col("s.best").alias("best_loss"), (F.col("s.at") + patience).alias("pos"))
+    at = placed.select("run_name", "pos", F.col("epoch").cast("int").alias("stop_epoch"))
+    every = losses.select("run_name").distinct().join(state, "run_name", "left").withColumn(
+        "pos", F.coalesce("pos", F.lit(patience - 1)))  # without any loss the wait starts before the first epoch
+    return every.join(at, ["run_name", "pos"], "left").select("run_name", "stop_epoch", "best_loss")
 
 
 def run_summary(table: DataFrame, loss: str = "val_loss") -> DataFrame:

@@ -46,6 +46,30 @@ def test_best_so_far_is_strict(spark):
     assert got == [True, False, True, False]
 
 
+def test_long_runs_in_pieces(spark):
+    """Cut into pieces of 7 rows, every result equals the plain window."""
+    values = [((i * 37) % 101) / 10 + (5 if i % 9 else 0) for i in range(60)]
+    df = losses(spark, values).unionByName(losses(spark, [3.0, 1.0], "b"))
+    long = df.select("run_name", F.lit("m").alias("metric"), "epoch", F.col("val_loss").alias("value"))
+    for w in (1, 3, 10):
+        plain, cut = (sorted((r.run_name, r.epoch, round(r.smoothed, 9)) for r in runs.moving_average(long, w, n).collect())
+                      for n in (1000, 7))
+        assert plain == cut
+    plain, cut = (sorted((r.run_name, r.epoch, r.best_before or -1, r.is_best) for r in runs.best_so_far(df, n).collect())
+                  for n in (1000, 7))
+    assert plain == cut
+    for patience, delta in ((2, 0.0), (5, 0.3), (30, 0.0)):
+        wait, best, want = 0, float("inf"), None
+        for i, v in enumerate(values):
+            best, wait = (v, 0) if v < best - delta else (best, wait + 1)
+            if wait >= patience:
+                want = i
+                break
+        for n in (1000, 7):
+            got = {r.run_name: r for r in runs.early_stop(df, patience, delta, n).collect()}
+            assert (got["a"].stop_epoch, got["b"].stop_epoch) == (want, None) and got["a"].best_loss == best
+
+
 def test_artifact_names(spark):
     names = ["S1_epoch_3.png", "S1_epoch_x.png", "note.png", "A_epoch_1_epoch_2.png", "S2_epoch_10.png", "S3_epoch_4.txt"]
     df = spark.createDataFrame([(f"runs/r/{n}", "r", at(0)) for n in names], "path STRING, run_name STRING, modificationTime TIMESTAMP")
