@@ -117,6 +117,23 @@ def batch_summary(predictions: DataFrame) -> DataFrame:
         f(c).alias(f"{c}_{n}") for c in (PRED, TARGET) for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))])
 
 
+def slide_report(predictions: DataFrame, eps: float = 1e-8, min_std: float = 1e-6) -> DataFrame:
+    """Losses, correlations and prediction variance per slide in one pass over the predictions.
+
+    The same values as :func:`slide_losses`, :func:`slide_pcc`, :func:`validation_pcc` and
+    :func:`prediction_variance` one by one.
+    """
+    p, t = _cols()
+    per_pathway = valid_rows(predictions).groupBy("sample_id", "pathway").agg(
+        F.count(F.lit(1)).alias("n"), A.pcc(p, t, eps).alias("pcc"), F.stddev_samp(t).alias("target_std"),
+        F.var_samp(p).alias("v"), F.sum((p - t) * (p - t)).alias("sse"), F.sum(F.abs(p - t)).alias("sae"))
+    active = (F.col("n") >= 2) & (F.col("target_std") > min_std) & ~F.isnan("pcc")
+    return per_pathway.groupBy("sample_id").agg(
+        (F.sum("sse") / F.sum("n")).alias("mse"), (F.sum("sae") / F.sum("n")).alias("mae"),
+        (1 - F.avg("pcc")).alias("pcc_loss"), F.avg(F.when(active, F.col("pcc"))).alias("val_pcc"),
+        F.avg(F.when(F.col("n") >= 2, F.col("v"))).alias("pred_variance"))
+
+
 def slide_losses(predictions: DataFrame) -> DataFrame:
     """MSE and MAE with one slide as one batch."""
     p, t = _cols()

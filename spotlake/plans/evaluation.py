@@ -14,9 +14,7 @@ def evaluate_slides(
     predictions: DataFrame, points: DataFrame | None = None, attention: DataFrame | None = None, k: int = 6
 ) -> DataFrame:
     """One row per slide. Coherence needs ``points``, attention correlation needs ``attention``."""
-    report = metrics.slide_losses(predictions)
-    loss = metrics.slide_pcc(predictions).groupBy("sample_id").agg((1 - F.avg("pcc")).alias("pcc_loss"))
-    parts = [loss, metrics.validation_pcc(predictions), metrics.prediction_variance(predictions)]
+    report, parts = metrics.slide_report(predictions), []
     if points is not None:
         parts.append(moran.spatial_coherence(points, predictions, k))
     if attention is not None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.operators import genesets, qc, ranking, registry, runs, splitting
+from spotlake.session import materialise
 
 
 def qc_audit(obs: DataFrame, expr: DataFrame, min_umis=500, min_genes=200, max_mt=0.15, worst: int = 15):
@@ -16,7 +17,8 @@ def qc_audit(obs: DataFrame, expr: DataFrame, min_umis=500, min_genes=200, max_m
 
 def compare_runs(log: DataFrame, names: list[str], window: int = 5, selected: list[str] | None = None):
     """(smoothed curves, KPI cards, export table) of the selected runs."""
-    cells = runs.latest_cells(runs.only_runs(log, selected) if selected else log)
+    # three results come from the deduplicated cells: read the raw log once
+    cells = materialise(runs.latest_cells(runs.only_runs(log, selected) if selected else log))
     table = runs.wide(cells, names)
     return runs.moving_average(cells, window), runs.last_rows(table, names), table
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.operators import moran, ranking
+from spotlake.session import materialise
 
 
 def build_vocabulary(
@@ -20,6 +21,7 @@ def build_vocabulary(
         totals = totals.join(means, "gene", "left")
     else:
         totals = totals.withColumn("morans_i", F.lit(None).cast("double"))
+    totals = materialise(totals)  # one row per gene, ranked twice and placed once
     ordered = ranking.hybrid_order(ranking.gene_ranks(totals), svg_weight)
     if priority is None:
         priority = totals.filter(F.lit(False)).select("gene")
