@@ -76,10 +76,13 @@ def channel_model():
     return lambda batch: np.concatenate([batch.mean(axis=(2, 3)), batch.max(axis=(2, 3))], axis=1)
 
 
-@query("udf_01_feature_extraction")
+@query("udf_01_feature_extraction", """SELECT sample_id, barcode, 6 AS width, round((avg(v) / 255 - 0.485::DOUBLE) / 0.229::DOUBLE, 3) AS first FROM (
+ SELECT sample_id, barcode, CAST('0x' || substr(m, i * 6 + 1, 2) AS INTEGER)::DOUBLE AS v FROM (
+  SELECT sample_id, barcode, md5('0:' || barcode) || md5('1:' || barcode) || md5('2:' || barcode) AS m FROM b_obs),
+ (SELECT unnest(generate_series(0, 15)) AS i)) GROUP BY 1, 2""", i="width")
 def _(b: Bindings):
     out = inference.extract_features(patches(b), channel_model, 64)
-    return out.select("sample_id", "barcode", F.size("features").alias("width"), F.col("features")[0].alias("first"))
+    return out.select("sample_id", "barcode", F.size("features").alias("width"), F.round(F.col("features")[0].cast("double"), 3).alias("first"))
 
 
 def halves_model():

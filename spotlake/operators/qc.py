@@ -76,6 +76,21 @@ def passing_counts(
     )
 
 
+def passing_spots_of(
+    obs: DataFrame, expr: DataFrame, counts: DataFrame, min_umis: float | None, min_genes: float | None,
+    max_mt: float | None,
+) -> DataFrame:
+    """The passing spots, read off ``counts`` (see :func:`passing_counts`) where that is enough.
+
+    A spot without counts is absent from ``counts``; only thresholds that let it pass need a second look
+    at ``expr``. Testing ``gene`` keeps the shuffled columns equal, so both uses share one exchange.
+    """
+    if (min_umis or 0) <= 0 and (min_genes or 0) <= 0:
+        return passing_spots(obs, expr, min_umis, min_genes, max_mt)
+    kept = counts.filter(F.col("gene").isNotNull()).select(*SPOT).distinct()
+    return obs.join(kept, SPOT, "left_semi")
+
+
 def empty_samples(obs: DataFrame, kept: DataFrame) -> DataFrame:
     """Samples that lose every spot."""
     return obs.select("sample_id").distinct().join(kept.select("sample_id").distinct(), "sample_id", "left_anti")

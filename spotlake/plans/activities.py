@@ -38,8 +38,8 @@ def pathway_activities(
 
     A sample is rejected when no spot passes QC, or when fewer than ``min_pathways`` sets are scorable.
     """
-    passed = qc.passing_spots(obs, expr, t.min_umis, t.min_genes, t.max_mt)
     counts = qc.passing_counts(expr, t.min_umis, t.min_genes, t.max_mt)
+    passed = qc.passing_spots_of(obs, expr, counts, t.min_umis, t.min_genes, t.max_mt)
     sizes = scoring.set_sizes(obs, var, gene_sets, t.min_set_genes)
     n_scored = scoring.scored_counts(sizes)
     enough = n_scored.filter(F.col("n_scored") >= t.min_pathways).select("sample_id")

@@ -67,7 +67,7 @@ def discover_samples(spark: SparkSession, path: str, extension: str) -> DataFram
 
 
 def candidate_feature_dirs(root: str, backbone: str | None = None, explicit: str | None = None) -> list[str]:
-    """Feature folders in order of preference."""
+    """Feature folders in order of preference. The folder names of the data layout."""
     if explicit:
         return [explicit]
     leaf = "he_features" if not backbone or backbone == "resnet50" else f"he_features_{backbone}"

@@ -24,14 +24,19 @@ def tail(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per
     return reader.load(path)
 
 
-def append_batches(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def append_batches(stream: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Write each micro-batch to its own folder. A repeated batch overwrites only itself, so a restart
-    after a failure never duplicates or loses rows."""
+    after a failure never duplicates or loses rows.
+
+    With an ``interval`` such as ``"5 seconds"`` the query keeps polling; without one it ends when the
+    present input is used up.
+    """
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**trigger).start()
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
