@@ -23,7 +23,7 @@ def main() -> None:
     from spotlake.catalog import load
     from spotlake.session import build_session
 
-    spark = build_session(f"local[{cpus}]", app="spotlake-bench")
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=8, app="spotlake-bench")
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load()
     only = sys.argv[1:]

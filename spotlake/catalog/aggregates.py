@@ -47,6 +47,24 @@ def _(b: Bindings):
     return score_tables(b)[0]
 
 
+@query("agg_05_last_symbols", """SELECT c_nationkey AS sample_id, c_custkey AS barcode, 'G' || (l_partkey // 2) AS gene, sum(l_quantity) AS count
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+ WHERE CASE WHEN c_nationkey % 5 = 4 THEN l_partkey % 2 = 0 ELSE l_partkey % 2 = 1 OR l_partkey + 1 NOT IN (SELECT p_partkey FROM part) END GROUP BY 1, 2, 3""", r="count")
+def _(b: Bindings):
+    """Panels where two neighbouring parts share a symbol: the later row of the slide's panel counts."""
+    def symbol(part: str):
+        return F.concat(F.lit("G"), F.floor(F.col(part) / 2).cast("string")).alias("gene")
+
+    slides = b.samples.agg(F.collect_list("sample_id")).scalar()
+    panel = b.genes.select("p_partkey", F.explode(slides).alias("sample_id"))
+    in_panel = "NOT (sample_id % 5 = 4 AND pos % 2 = 1)"
+    var = panel.select("sample_id", symbol("p_partkey"), F.col("p_partkey").alias("pos")).filter(in_panel)
+    expr = b._items.select(
+        F.col("c_nationkey").alias("sample_id"), F.col("c_custkey").alias("barcode"), symbol("l_partkey"), F.col("l_partkey").alias("pos"),
+        F.col("l_quantity").alias("count")).filter(in_panel)
+    return scoring.last_symbols(expr, var).groupBy("sample_id", "barcode", "gene").agg(F.sum("count").alias("count"))
+
+
 @query("agg_06_scored_pathways", """SELECT sample_id, count(*) FILTER (WHERE n_genes >= 40) AS n_scored, count(*) FILTER (WHERE n_genes < 40) AS n_unscored
  FROM d_pairs GROUP BY 1""", i="n_scored n_unscored")
 def _(b: Bindings):
@@ -151,15 +169,15 @@ def _(b: Bindings):
 
 
 @query("agg_17_collection_coverage", """SELECT count(*) AS n_genes, count(s.gene) AS n_covered, count(s.gene) * 100.0::DOUBLE / count(*) AS pct_covered
- FROM b_genes g LEFT JOIN (SELECT DISTINCT gene FROM b_gene_sets WHERE pathway LIKE 'HALLMARK_TYPE_S%') s USING (gene)""", r="pct_covered", i="n_genes n_covered")
+ FROM b_genes g LEFT JOIN (SELECT DISTINCT gene FROM b_gene_sets) s USING (gene)""", r="pct_covered", i="n_genes n_covered")
 def _(b: Bindings):
-    return genesets.coverage(b.gene_sets.filter(F.col("pathway").startswith("HALLMARK_TYPE_S")), b.genes)
+    return genesets.coverage(b.gene_sets, b.genes)
 
 
-@query("agg_17_matched_per_set", """SELECT pathway, count(*) FILTER (WHERE gene IN (SELECT gene FROM b_var WHERE sample_id = 4)) AS n_matched, count(*) AS n_genes
+@query("agg_17_matched_per_set", """SELECT pathway, count(*) FILTER (WHERE gene IN (SELECT gene FROM b_var)) AS n_matched, count(*) AS n_genes
  FROM b_gene_sets GROUP BY 1""", i="n_matched n_genes")
 def _(b: Bindings):
-    return genesets.matched_per_set(b.gene_sets, b.var.filter("sample_id = 4"))
+    return genesets.matched_per_set(b.gene_sets, b.var)
 
 
 @query("agg_18_sample_coverage", """SELECT sample_id, count(*) AS n_found, (SELECT count(*) FROM b_genes) AS n_wanted, count(*) / (SELECT count(*) FROM b_genes)::DOUBLE AS coverage
@@ -315,11 +333,11 @@ def _(b: Bindings):
 
 @query("udf_06_weighted_gene_sets", """SELECT sample_id, barcode, pathway, sum(w * (coalesce(x, 0) - mu) / sigma) / sum(w) AS score FROM (
  SELECT p.sample_id, p.barcode, s.pathway, s.gene, s.w, m.mu, m.sigma, d_x.x FROM d_passed p JOIN b_var v USING (sample_id)
- JOIN (SELECT pathway, gene, 1 + len(gene) / 10.0::DOUBLE AS w FROM b_gene_sets WHERE collection = 'types') s ON s.gene = v.gene
+ JOIN (SELECT pathway, gene, 1 + len(gene) / 10.0::DOUBLE AS w FROM b_gene_sets) s ON s.gene = v.gene
  JOIN d_moments m ON m.sample_id = p.sample_id AND m.gene = v.gene
  LEFT JOIN d_x ON d_x.sample_id = p.sample_id AND d_x.barcode = p.barcode AND d_x.gene = v.gene) GROUP BY 1, 2, 3""", r="score")
 def _(b: Bindings):
-    sets = b.gene_sets.filter("collection = 'types'").withColumn("weight", 1 + F.length("gene") / 10.0)
+    sets = b.gene_sets.withColumn("weight", 1 + F.length("gene") / 10.0)
     return scoring.score_pathways(passed(b), scoring.normalise(kept_counts(b)), b.var, sets, LIMITS.min_set_genes)[0]
 
 

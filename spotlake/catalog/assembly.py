@@ -108,7 +108,7 @@ def _(b: Bindings):
 
 @query("udf_03_patch_scoring", "SELECT sample_id, barcode, a AS low, c AS whole FROM d_halves", r="low whole", d_halves=_HALVES)
 def _(b: Bindings):
-    s = inference.score_patches(b.features, halves_model())
+    s = inference.score_patches(b.features, halves_model)
     return s.select("sample_id", "barcode", F.col("scores")[0].alias("low"), F.col("scores")[2].alias("whole"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from spotlake.catalog.bindings import Bindings
@@ -93,10 +95,10 @@ def _(b: Bindings):
 
 
 @query("join_09_membership", """SELECT p.pathway, g.gene, CASE WHEN s.gene IS NULL THEN 0.0 ELSE 1.0 END AS value
- FROM (SELECT DISTINCT pathway FROM b_gene_sets WHERE collection = 'types') p CROSS JOIN b_genes g
+ FROM (SELECT DISTINCT pathway FROM b_gene_sets) p CROSS JOIN b_genes g
  LEFT JOIN b_gene_sets s ON s.pathway = p.pathway AND s.gene = g.gene""", r="value")
 def _(b: Bindings):
-    return align.membership(b.gene_sets.filter("collection = 'types'"), b.genes)
+    return align.membership(b.gene_sets, b.genes)
 
 
 @query("join_10_semi_anti", """SELECT sample_id, sample_id IN (SELECT label FROM embeddings) AS has_features FROM b_samples""")
@@ -107,10 +109,11 @@ def _(b: Bindings):
         lack.select("sample_id", F.lit(False).alias("has_features")))
 
 
-@query("join_11_attach_weights", "SELECT o.sample_id, o.barcode, pathway, morans_i FROM b_obs o JOIN d_weights USING (sample_id)",
+@query("join_11_attach_weights", "SELECT o.sample_id, o.barcode, pathway, morans_i FROM b_obs o LEFT JOIN (SELECT * FROM d_weights WHERE sample_id <> 3) w USING (sample_id)",
        r="morans_i", d_type=_TYPE, d_weights=_WEIGHTS)
 def _(b: Bindings):
-    return align.attach_weights(b.obs.select("sample_id", "barcode"), type_weights(b))
+    """One slide has no weights and keeps its spots."""
+    return align.attach_weights(b.obs.select("sample_id", "barcode"), type_weights(b).filter("sample_id <> 3"))
 
 
 _PSEUDO = """SELECT gene, total_counts, avg_count AS morans_i, row_number() OVER (ORDER BY total_counts DESC, gene) - 1 AS expr_rank,
@@ -161,11 +164,11 @@ def _(b: Bindings):
         part.select(F.lit("Visium").alias("scope"), "gene"))
 
 
-@query("set_03_concatenate", "SELECT organ, count(*) AS n FROM b_obs JOIN b_samples USING (sample_id) WHERE organ IN ('Lung', 'Kidney') GROUP BY 1", i="n")
+@query("set_03_concatenate", "SELECT organ, count(*) AS n FROM b_obs JOIN b_samples USING (sample_id) GROUP BY 1", i="n")
 def _(b: Bindings):
     spots = b.obs.join(b.samples.select("sample_id", "organ"), "sample_id")
-    return spots.filter("organ = 'Lung'").unionByName(spots.filter("organ = 'Kidney'")).groupBy("organ").agg(
-        F.count(F.lit(1)).alias("n"))
+    parts = [spots.filter(F.col("organ") == organ) for organ in ("Bowel", "bowel", "Breast", "Kidney", "Lung")]
+    return reduce(lambda a, c: a.unionByName(c), parts).groupBy("organ").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _collections(b: Bindings):
@@ -196,8 +199,8 @@ def _(b: Bindings):
         extra.select(F.lit("extra").alias("side"), "sample_id"))
 
 
-@query("set_07_overlap", "SELECT gene FROM b_var WHERE sample_id = 4 INTERSECT SELECT gene FROM b_gene_sets WHERE collection = 'types'")
+@query("set_07_overlap", "SELECT gene FROM b_var INTERSECT SELECT gene FROM b_gene_sets")
 def _(b: Bindings):
-    return genesets.overlap(b.var.filter("sample_id = 4"), b.gene_sets.filter("collection = 'types'"), "gene")
+    return genesets.overlap(b.var, b.gene_sets, "gene")
 
 

@@ -100,14 +100,14 @@ def _(b: Bindings):
                          summary.select("mean_share").scalar().alias("mean_share"))
 
 
-@query("plan_06_run_comparison", """SELECT s.run_name, s.epoch, s.smoothed, w.click, l.last_epoch FROM (
- SELECT run_name, epoch, avg(value) OVER (PARTITION BY run_name, metric ORDER BY epoch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS smoothed FROM d_cells WHERE metric = 'click') s
- JOIN d_wide w USING (run_name, epoch) JOIN (SELECT run_name, max(epoch) AS last_epoch FROM d_wide GROUP BY 1) l USING (run_name)""", r="smoothed click", i="last_epoch")
+@query("plan_06_run_comparison", """SELECT s.run_name, s.epoch, s.metric, s.smoothed, w.click, w.view, w.purchase, l.last_epoch FROM (
+ SELECT run_name, epoch, metric, avg(value) OVER (PARTITION BY run_name, metric ORDER BY epoch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS smoothed FROM d_cells WHERE value IS NOT NULL) s
+ JOIN d_wide w USING (run_name, epoch) JOIN (SELECT run_name, max(epoch) AS last_epoch FROM d_wide GROUP BY 1) l USING (run_name)""", r="smoothed click view purchase", i="last_epoch")
 def _(b: Bindings):
     curves, cards, table = studies.compare_runs(b.metrics_long, ["click", "view", "purchase"], 3)
     return (
-        curves.filter("metric = 'click'").select("run_name", "epoch", "smoothed")
-        .join(table.select("run_name", "epoch", "click"), ["run_name", "epoch"])
+        curves.select("run_name", "epoch", "metric", "smoothed")
+        .join(table.select("run_name", "epoch", "click", "view", "purchase"), ["run_name", "epoch"])
         .join(cards.select("run_name", F.col("epoch").alias("last_epoch")), "run_name"))
 
 

@@ -140,10 +140,7 @@ def _(b: Bindings):
 @query("fn_16_elapsed_fields", """SELECT run_name, round(date_diff('microsecond', min(ts), max(ts)) / 1000000.0::DOUBLE, 1) AS runtime_seconds,
  count(DISTINCT epoch) AS epochs_completed FROM b_metrics_long GROUP BY 1""", r="runtime_seconds", i="epochs_completed")
 def _(b: Bindings):
-    micros = [f(F.unix_micros(F.col("ts").cast("timestamp"))) for f in (F.max, F.min)]
-    cells = b.metrics_long.groupBy("run_name", "epoch").agg(micros[0].alias("hi"), micros[1].alias("lo"))
-    return cells.groupBy("run_name").agg(
-        F.round((F.max("hi") - F.min("lo")) / 1000000.0, 1).alias("runtime_seconds"), F.count(F.lit(1)).alias("epochs_completed"))
+    return runs.elapsed_fields(b.metrics_long)
 
 
 @query("fn_17_requested_files", """SELECT DISTINCT path FROM b_artifacts WHERE EXISTS (SELECT 1 FROM b_samples s WHERE organ = 'Lung'

@@ -134,9 +134,9 @@ def _(b: Bindings):
     """Two generations of files: the older one lacks the weight column, which reads as NULL."""
     path = work_path(b.spark, "generations")
     rows = b.t("lineitem").select(F.col("l_returnflag").alias("pathway"), F.col("l_orderkey").alias("barcode"))
-    rows.filter("barcode % 2 = 0").write.parquet(f"{path}/part=0")
-    rows.filter("barcode % 2 = 1").withColumn("morans_i", F.lit(0.5)).write.parquet(f"{path}/part=1")
-    both = b.spark.read.option("mergeSchema", True).parquet(path)
+    rows.filter("barcode % 2 = 0").write.parquet(f"{path}/activities/part=0")
+    rows.filter("barcode % 2 = 1").withColumn("morans_i", F.lit(0.5)).write.parquet(f"{path}/activities/part=1")
+    both, _ = tables.read_activities(b.spark, path)
     return tables.with_optional(both, "morans_i", "double").groupBy("pathway", "part").agg(
         F.count(F.lit(1)).alias("n"), F.count("morans_i").alias("n_weight"))
 
@@ -150,9 +150,7 @@ def _(b: Bindings):
 def _(b: Bindings):
     path = work_path(b.spark, "discover")
     b.obs.write.partitionBy("sample_id").parquet(path)
-    found = b.spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.parquet").load(path)
-    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+    return tables.sample_folders(b.spark, path, ".parquet")
 
 
 @query("src_13_vocabulary_sink", """SELECT gene, total_counts FROM (SELECT *, row_number() OVER (ORDER BY total_counts DESC, gene) AS r FROM d_totals)
@@ -213,15 +211,17 @@ def _(b: Bindings):
     return run_files.collect_summaries(b.spark, path, "run_name STRING, best_val_loss DOUBLE, epochs_completed BIGINT")
 
 
-@query("src_18_export_runs", """SELECT run_name, epoch, click, view, NULL::DOUBLE AS purchase FROM d_wide WHERE epoch % 2 = 0
- UNION ALL SELECT run_name, epoch, click, NULL, purchase FROM d_wide WHERE epoch % 2 = 1""", r="click view purchase")
+@query("src_18_export_runs", """WITH e AS (SELECT run_name, epoch, click, view, NULL::DOUBLE AS purchase FROM d_wide UNION ALL SELECT run_name, epoch, NULL, NULL, purchase FROM d_wide)
+ SELECT 'all' AS part, * FROM e UNION ALL SELECT 'chosen', * FROM e WHERE run_name IN ('run_1', 'run_2', 'run_3', 'run_5', 'run_8')""", r="click view purchase")
 def _(b: Bindings):
+    """Two tables with different columns, as one export of all runs and one of chosen runs."""
     path = work_path(b.spark, "export")
     table = runs.wide(runs.latest_cells(b.metrics_long), ["click", "view", "purchase"])
-    out = run_files.export_runs([table.filter("epoch % 2 = 0").drop("purchase"), table.filter("epoch % 2 = 1").drop("view")])
-    run_files.write_csv(out, path)
+    halves = [table.select("run_name", "epoch", "click", "view"), table.select("run_name", "epoch", "purchase")]
+    run_files.write_csv(run_files.export_runs(halves), f"{path}/part=all")
+    run_files.write_csv(run_files.export_runs(halves, [f"run_{n}" for n in (1, 2, 3, 5, 8)]), f"{path}/part=chosen")
     return b.spark.read.schema(
-        "run_name STRING, epoch INT, click DOUBLE, view DOUBLE, purchase DOUBLE").option("header", True).csv(path)
+        "run_name STRING, epoch INT, click DOUBLE, view DOUBLE, purchase DOUBLE, part STRING").option("header", True).csv(path)
 
 
 @query("src_19_csv_to_table", "SELECT run_name, count(*) AS n, sum(value) AS total FROM d_cells GROUP BY 1", r="total", i="n")

@@ -25,12 +25,24 @@ def _event_stream(b: Bindings):
 def _drain(b: Bindings, df, name: str, mode: str = "append"):
     """Run a stream until the present input is used up; keep the last output per batch folder."""
     root, check = work_path(b.spark, name), work_path(b.spark, f"{name}-check")
+    _step(df, root, check, mode)
+    return b.spark.read.parquet(root)
+
 
+def _step(df, root: str, check: str, mode: str) -> None:
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     df.writeStream.outputMode(mode).option("checkpointLocation", check).foreachBatch(write).trigger(
         availableNow=True).start().awaitTermination()
+
+
+def _two_arrivals(b: Bindings, df, build, name: str, mode: str):
+    """The early epochs arrive first; the stream is stopped, the late ones arrive, and it goes on from its state."""
+    path, root, check = (work_path(b.spark, f"{name}-{part}") for part in ("in", "out", "check"))
+    for part in (df.filter("epoch <= 12"), df.filter("epoch > 12")):
+        part.write.mode("append").parquet(path)
+        _step(build(stream.tail(b.spark, path, df.schema)), root, check, mode)
     return b.spark.read.parquet(root)
 
 
@@ -47,17 +59,11 @@ def _(b: Bindings):
     return stream.read_latest(b.spark, root)
 
 
-def _staged(b: Bindings, df, name: str):
-    path = work_path(b.spark, name)
-    df.write.parquet(path)
-    return stream.tail(b.spark, path, df.schema)
-
-
 @query("str_03_live_kpis", """SELECT run_name, epoch, click, view FROM (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY epoch DESC) AS r FROM d_wide)
  WHERE r = 1""", r="click view")
 def _(b: Bindings):
     table = runs.wide(runs.latest_cells(b.metrics_long), ["click", "view", "purchase"])
-    out = _drain(b, stream.live_kpis(_staged(b, table, "kpi-in"), ["click", "view"]), "kpi", "complete")
+    out = _two_arrivals(b, table, lambda rows: stream.live_kpis(rows, ["click", "view"]), "kpi", "complete")
     last = out.agg(F.max("batch")).scalar()
     return out.filter(F.col("batch") == last).drop("batch")
 
@@ -78,10 +84,28 @@ def _(b: Bindings):
         F.count(F.lit(1)).alias("n_rows"), F.sum("score").alias("total"))
 
 
+@query("str_04_rejected_samples", """SELECT sample_id, CASE WHEN sample_id NOT IN (SELECT sample_id FROM b_obs) THEN 'no data'
+ WHEN sample_id NOT IN (SELECT sample_id FROM d_passed) THEN 'no spot passes quality control' ELSE 'too few scorable pathways' END AS reason
+ FROM (SELECT n_nationkey AS sample_id FROM nation UNION ALL SELECT n_nationkey + 100 FROM nation) WHERE sample_id NOT IN (SELECT sample_id FROM d_enough)""")
+def _(b: Bindings):
+    """Every other arriving sample has no spots at all."""
+    nations = stream.tail(b.spark, b.sf_dir, b.t("nation").schema, name_filter="nation.parquet")
+    key = F.col("n_nationkey")
+    root = work_path(b.spark, "rejected-samples")
+
+    def tables(ids):
+        return tuple(df.join(ids, "sample_id", "left_semi") for df in (b.obs, b.var, b.expr))
+
+    sample_stream.process_new_samples(
+        nations.select(F.explode(F.array(key, key + 100)).alias("sample_id")), tables, b.gene_sets, root,
+        work_path(b.spark, "rejected-samples-check"), LIMITS).awaitTermination()
+    return b.spark.read.parquet(f"{root}/rejected").select(F.col("sample_id").cast("bigint").alias("sample_id"), "reason")
+
+
 @query("str_05_early_stopping", EARLY_STOP)
 def _(b: Bindings):
     one = losses(b).repartition("run_name").sortWithinPartitions("run_name", "epoch")
-    out = _drain(b, stream.early_stopping(_staged(b, one, "stop-in"), 3), "stop", "update")
+    out = _two_arrivals(b, one, lambda rows: stream.early_stopping(rows, 3), "stop", "update")
     return out.groupBy("run_name").agg(F.max_by("stop_epoch", "batch").alias("stop_epoch"))
 
 

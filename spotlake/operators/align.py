@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPOT = ["sample_id", "barcode"]
@@ -52,8 +52,8 @@ def project_requested(
 
 
 def attach_weights(spots: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per-slide pathway weights on every spot of the slide."""
-    return spots.join(weights, "sample_id")
+    """Per-slide pathway weights on every spot of the slide; a slide without weights keeps its spots, with nulls."""
+    return spots.join(weights, "sample_id", "left")
 
 
 def membership(gene_sets: DataFrame, genes: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -92,16 +92,20 @@ def requested_names(names: DataFrame, requested: DataFrame | None, default: int
 def injected_table(obs: DataFrame, predictions: DataFrame, names: list[str]) -> DataFrame:
     """One labelled row per spot: coordinates plus a column per pathway.
 
-    Raises when prediction spots and ``obs`` spots differ in number or a name is unknown.
+    The plan raises, and gives no row, when a spot has no prediction, a prediction has no spot, a (spot, pathway)
+    is missing or repeated, or a name is unknown; the check is part of the one pass over the predictions.
     """
-    spots, have = obs.count(), predictions.select(*SPOT).distinct().count()
-    if spots != have:
-        raise ValueError(f"{have} predicted spots for {spots} spots")
-    found = {r[0] for r in predictions.select("pathway").distinct().limit(len(names) + 1).collect()}
-    if found != set(names):
-        raise ValueError(f"{len(found)} predicted pathways for {len(names)} names")
-    wide = predictions.groupBy(*SPOT).pivot("pathway", names).agg(F.first("score"))
-    return obs.select(*SPOT, "x", "y").join(wide, SPOT)
+    known = F.col("pathway").isin(*names) & F.col("pathway").isNotNull()
+    named = F.when(known, F.col("pathway")).otherwise(F.raise_error(F.concat(F.lit("unknown pathway "), F.coalesce("pathway", F.lit("NULL")))))
+    score = {n: F.when(F.col("pathway") == n, F.col("score")) for n in names}
+    wide = predictions.withColumn("pathway", named).groupBy(*SPOT).agg(
+        F.count(F.lit(1)).alias("__n"), F.countDistinct("pathway").alias("__names"), *[F.max(c).alias(n) for n, c in score.items()])
+    both = obs.select(*SPOT, "x", "y", F.lit(True).alias("__spot")).join(wide, SPOT, "full")
+    problem = (
+        F.when(F.col("__spot").isNull(), "prediction without a spot").when(F.col("__n").isNull(), "spot without a prediction")
+        .when((F.col("__names") != len(names)) | (F.col("__n") != len(names)), "pathways of a spot are missing or repeated"))
+    fine = F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.lit(True))
+    return both.filter(fine).select(*SPOT, "x", "y", *names)
 
 
 def default_names(n: int) -> list[str]:
@@ -109,7 +113,7 @@ def default_names(n: int) -> list[str]:
 
 
 def context_spots(
-    centres: DataFrame, spots: DataFrame, m: int, seed: int = 42, rows_per_task: int | None = None
+    centres: DataFrame, spots: DataFrame, m: int, seed: int = 42
 ) -> DataFrame:
     """For every centre, ``m`` spots of the same slide drawn with replacement by hash.
 
@@ -118,8 +122,7 @@ def context_spots(
     from spotlake.functions.scalars import seeded_hash
     from spotlake.operators import index
 
-    limit = rows_per_task or index.ROWS_PER_TASK
-    placed = index.position(spots.select(*SPOT), ["sample_id"], [F.col("barcode")], "idx", limit)
+    placed = index.position(spots.select(*SPOT), ["sample_id"], [F.col("barcode")], "idx")
     sizes = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
     slots = (
         centres.select("sample_id", F.col("barcode").alias("centre")).join(sizes, "sample_id")
@@ -127,8 +130,3 @@ def context_spots(
         .withColumn("idx", F.pmod(seeded_hash(seed, F.col("sample_id"), F.col("centre"), F.col("slot")), F.col("n"))))
     return slots.join(placed, ["sample_id", "idx"]).select("sample_id", "centre", "slot", "barcode")
 
-
-def last_position(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Keep the row with the greatest ``order`` per key (a later definition replaces an earlier one)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r")

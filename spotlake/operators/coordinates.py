@@ -81,8 +81,8 @@ def relative_to_centre(edges: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def to_image_space(points: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``chosen`` has (sample_id, scalef)."""
-    return points.join(chosen.select("sample_id", "scalef"), "sample_id").select(
+    """``chosen`` has (sample_id, scalef); spots of a sample without one stay, with null coordinates."""
+    return points.join(chosen.select("sample_id", "scalef"), "sample_id", "left").select(
         *SPOT, (F.col("x") * F.col("scalef")).alias("x"), (F.col("y") * F.col("scalef")).alias("y"))
 
 

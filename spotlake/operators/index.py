@@ -1,8 +1,9 @@
 """Positions inside a group (0, 1, 2, ...) without sorting a whole group in one task.
 
-A plain ``row_number`` window puts each group into one task. When a group may be large, rows are first
-put into order-preserving buckets: bucket sizes are counted and summed up, and only the rows of one
-bucket are sorted together. The position is the bucket's offset plus the position inside the bucket.
+Rows are dealt by range over (group, order), so that a large group spreads over many partitions, and sorted inside
+each partition. The position is the row's place among the rows of its group in the partition, plus the rows of the
+group in the partitions before. There is one path for all sizes; Spark draws the range borders from the rows, and
+their number follows the row count through the shuffle partitions.
 """
 
 from __future__ import annotations
@@ -12,78 +13,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group up to this size is sorted by one task.
-ROWS_PER_TASK = 2_000_000
-# Number of sampled bucket borders aimed at for a large group.
-BORDERS = 256
+from spotlake.session import materialise
 
 
 def position_by_number(df: DataFrame, group: Sequence[str], key: str, out: str, width: int = 65536) -> DataFrame:
     """0-based position by a unique integer ``key``; buckets are equal ranges of the key."""
     group = list(group)
     bucketed = df.withColumn("__b", F.floor(F.col(key) / F.lit(width)).cast("bigint"))
-    return _from_buckets(bucketed, group, [F.col(key)], out)
-
-
-def position(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """0-based position by ``order`` (a total order inside each group).
-
-    One small job measures the largest group. Below ``rows_per_task`` a window does; beyond it, border
-    rows are drawn by hash, so every run and every retry draws the same ones.
-    """
-    group = list(group)
-    sizes = _sizes(df, group)
-    if (sizes.agg(F.max("__n")).first()[0] or 0) <= rows_per_task:
-        spec = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-        return df.withColumn(out, (F.row_number().over(spec.orderBy(*order)) - 1).cast("bigint"))
-    return _position_large(df, group, sizes, order, out)
-
-
-def _sizes(df: DataFrame, group: list[str]) -> DataFrame:
-    count = F.count(F.lit(1)).alias("__n")
-    return df.groupBy(*group).agg(count) if group else df.agg(count)
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group; one small aggregation job."""
-    return _sizes(df, list(group)).agg(F.max("__n")).first()[0] or 0
-
-
-def _position_large(df: DataFrame, group: list[str], sizes: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
-    # Order columns become one comparable struct; descending columns must be negated by the caller.
-    keyed = df.withColumn("__o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    every = F.greatest(F.lit(1), F.floor(F.col("__n") / F.lit(BORDERS)).cast("bigint"))
-    drawn = _attach(keyed.select(*group, "__o"), sizes, group).filter(
-        F.pmod(F.xxhash64(F.col("__o")), every) == 0)
-    borders = (drawn.groupBy(*group) if group else drawn.groupBy()).agg(
-        F.array_sort(F.collect_set("__o")).alias("__borders"))
-    bucketed = _attach(keyed, borders, group).withColumn(
-        "__b",
-        F.coalesce(F.size(F.filter(F.col("__borders"), lambda s: s <= F.col("__o"))), F.lit(0)).cast("bigint"),
-    ).drop("__borders")
-    return _from_buckets(bucketed, group, [F.col("__o")], out).drop("__o")
-
-
-def _attach(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
-    # Without group columns ``right`` is one aggregate value.
-    return left.join(right, group, "left") if group else left.withColumn(right.columns[0], right.scalar())
-
-
-def _from_buckets(bucketed: DataFrame, group: list[str], order: Sequence[Column], out: str) -> DataFrame:
     counts = bucketed.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    offsets = counts.select(
-        *group, "__b",
-        F.coalesce(
-            F.sum("__c").over(before.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("__off"),
-    )
-    inside = Window.partitionBy(*group, "__b").orderBy(*order)
+    inside = Window.partitionBy(*group, "__b").orderBy(key)
     return (
         bucketed.withColumn("__r", F.row_number().over(inside) - 1)
-        .join(offsets, [*group, "__b"])
+        .join(_offsets(counts, group), [*group, "__b"])
         .withColumn(out, (F.col("__off") + F.col("__r")).cast("bigint"))
         .drop("__b", "__off", "__r")
     )
+
+
+def position(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """0-based position by ``order`` (a total order inside each group); descending columns are negated by the caller.
+
+    The dealt rows are written to the shared folder, since both the counts and the result need the same partitions;
+    what the caller does next reads them from there instead of computing ``df`` again.
+    """
+    group = list(group)
+    keys = [F.col(g) for g in group]
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    dealt = materialise(dealt.withColumn("__at", F.monotonically_increasing_id()).withColumn("__b", F.spark_partition_id()))
+    # A null group is a group like any other, hence the null-safe joins.
+    counts = dealt.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"), F.min("__at").alias("__first"))
+    offsets = _offsets(counts, group, "__first").select(
+        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__b").alias("__ob"), "__off", "__first")
+    same = F.col("__b") == F.col("__ob")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    placed = dealt.join(offsets, same).withColumn(out, F.col("__off") + F.col("__at") - F.col("__first"))
+    return placed.drop("__at", *offsets.columns, "__b")
+
+
+def _offsets(counts: DataFrame, group: list[str], *more: str) -> DataFrame:
+    """Rows of the group in earlier buckets; one row for each group and bucket."""
+    before = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("__b")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*group, "__b", *more, F.coalesce(F.sum("__c").over(before), F.lit(0)).cast("bigint").alias("__off"))

@@ -19,54 +19,58 @@ CHANNEL_MEAN = (0.485, 0.456, 0.406)
 CHANNEL_STD = (0.229, 0.224, 0.225)
 
 
-def decode_patch(row_img: bytes, h: int, w: int, c: int) -> np.ndarray:
-    return np.frombuffer(row_img, dtype=np.uint8).reshape(h, w, c)
+def decode_patches(images: pd.Series, h: int, w: int, c: int) -> np.ndarray:
+    """Patches of one shape as (B, H, W, C) bytes."""
+    return np.frombuffer(b"".join(images), dtype=np.uint8).reshape(len(images), h, w, c)
 
 
 def preprocess(img: np.ndarray, op: int = 0, mean=CHANNEL_MEAN, std=CHANNEL_STD) -> np.ndarray:
-    """HWC bytes to normalised CHW floats, moved by one of the eight symmetries.
+    """(..., H, W, C) bytes to normalised (..., C, H, W) floats, moved by one of the eight symmetries.
 
     Rotations come first (ops 0..3 are quarter turns), mirrored ops are a flip of one axis or a transpose;
     the table agrees with ``functions.coords.dihedral`` on point positions.
     """
-    chw = img.astype(np.float64).transpose(2, 0, 1) / 255.0
+    chw = np.moveaxis(img.astype(np.float64), -1, -3) / 255.0
     chw = (chw - np.asarray(mean)[:, None, None]) / np.asarray(std)[:, None, None]
     return np.ascontiguousarray(turn(chw, op))
 
 
 def turn(chw: np.ndarray, op: int) -> np.ndarray:
     if op < 4:
-        return np.rot90(chw, k=op, axes=(1, 2))
-    mirrored = {4: chw[:, :, ::-1], 5: chw[:, ::-1, :], 6: chw.swapaxes(1, 2)}
-    return mirrored[op] if op in mirrored else chw.swapaxes(1, 2)[:, ::-1, ::-1]
+        return np.rot90(chw, k=op, axes=(-2, -1))
+    mirrored = {4: chw[..., ::-1], 5: chw[..., ::-1, :], 6: chw.swapaxes(-2, -1)}
+    return mirrored[op] if op in mirrored else chw.swapaxes(-2, -1)[..., ::-1, ::-1]
 
 
 def extract_features(
     patches: DataFrame, model_factory: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 64
 ) -> DataFrame:
-    """(sample_id, barcode, x, y, features) of a patch table; the model sees (B, C, H, W) batches."""
+    """(sample_id, barcode, x, y, features) of a patch table; the model sees (B, C, H, W) batches of one shape.
+
+    An optional column ``op`` (0..7) moves each patch by a symmetry first.
+    """
     schema = T.StructType([patches.schema[c] for c in ("sample_id", "barcode", "x", "y")]
                           + [T.StructField("features", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
         for pdf in batches:
-            for i in range(0, len(pdf), batch_size):
-                part = pdf.iloc[i:i + batch_size]
-                stack = np.stack([preprocess(decode_patch(r.img, r.h, r.w, r.c)) for r in part.itertuples()])
-                out = part[["sample_id", "barcode", "x", "y"]].copy()
-                out["features"] = [v.astype(np.float32) for v in model(stack)]
-                yield out
+            for (h, w, c, op), same in pdf.groupby(["h", "w", "c", "op"], sort=False):
+                for i in range(0, len(same), batch_size):
+                    part = same.iloc[i:i + batch_size]
+                    out = part[["sample_id", "barcode", "x", "y"]].copy()
+                    out["features"] = [v.astype(np.float32) for v in model(preprocess(decode_patches(part["img"], h, w, c), op))]
+                    yield out
 
-    return patches.select("sample_id", "barcode", "x", "y", "img", "h", "w", "c").mapInPandas(run, schema)
+    op = F.col("op") if "op" in patches.columns else F.lit(0)
+    return patches.select("sample_id", "barcode", "x", "y", "img", "h", "w", "c", op.cast("int").alias("op")).mapInPandas(run, schema)
 
 
 def check_width(features: DataFrame, width: int) -> DataFrame:
-    """Raise when any vector has another length; the search runs on Spark and stops at the first hit."""
-    bad = features.filter(F.size("features") != width).select(F.size("features")).take(1)
-    if bad:
-        raise ValueError(f"expected feature vectors of length {width}, found {bad[0][0]}")
-    return features
+    """``features`` where the plan raises on a vector of another length; no pass of its own."""
+    wrong = F.concat(F.lit(f"expected feature vectors of length {width}, found "), F.size("features").cast("string"))
+    vector = F.when(F.size("features") == width, F.col("features")).otherwise(F.raise_error(wrong))
+    return features.withColumn("features", vector)
 
 
 def score_spots(
@@ -80,7 +84,7 @@ def score_spots(
     missing = {"x", "y"} - set(features.columns)
     if missing:
         raise ValueError("coordinates are required")
-    check_width(features, width)
+    features = check_width(features, width)
     schema = T.StructType([features.schema["sample_id"], features.schema["barcode"],
                            T.StructField("scores", T.ArrayType(T.DoubleType()))])
 
@@ -102,12 +106,14 @@ def score_slides(dense: DataFrame) -> DataFrame:
     return dense.groupBy("sample_id", "pathway").agg(F.avg("score").alias("score"))
 
 
-def score_patches(features: DataFrame, model: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def score_patches(features: DataFrame, model_factory: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
     """Score rows on their own, each at coordinate (0, 0)."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def one(vectors: pd.Series) -> pd.Series:
-        x = np.stack(vectors.to_numpy()).astype(np.float64)
-        return pd.Series(list(np.asarray(model(x, np.zeros((len(x), 2))), dtype=np.float64)))
+    def one(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = model_factory()
+        for vectors in parts:
+            x = np.stack(vectors.to_numpy()).astype(np.float64)
+            yield pd.Series(list(np.asarray(model(x, np.zeros((len(x), 2))), dtype=np.float64)))
 
     return features.withColumn("scores", one("features"))

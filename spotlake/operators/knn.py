@@ -1,5 +1,6 @@
 """Exact k nearest neighbours inside each sample, as a distributed join.
 
+Spots with a missing, NaN or infinite coordinate neither ask nor answer, whatever the size of their slide.
 A first small job counts the spots per slide. Slides of a bounded size go one slide per group to NumPy,
 which needs a single shuffle. Larger slides are never put into one task, and no step forms all pairs of
 a slide; their points are packed into quadtree leaves of bounded size:
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +39,11 @@ def knn_edges(
     """Edges (sample_id, barcode, neighbor, d2, rank) with rank 1..k; self is never a neighbour.
 
     ``queries`` (sample_id, barcode) restricts the left side; neighbours still come from all points.
+    A spot without finite coordinates has no neighbours and is none.
     """
     pts = points.select(SAMPLE, ID, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    finite = F.lit(float("inf"))
+    pts = pts.filter((F.abs("x") < finite) & (F.abs("y") < finite))  # NaN is greater than any number
     sizes = pts.groupBy(SAMPLE).agg(F.count(F.lit(1)).alias("n_pts"))
     largest = sizes.agg(F.max("n_pts")).first()[0] or 0
     if queries is None:
@@ -105,13 +108,10 @@ def _leaf_join(pts: DataFrame, k: int, leaf_size: int) -> DataFrame:
         reps = reps.drop("__r")
         grid = _grid(reps, leaf_size)
         fullest = _fullest(grid)
-    for _ in range(6):
-        if fullest <= leaf_size:
-            break
+    while fullest > leaf_size:  # each round moves every such cell at least one level down, MAX_LEVEL at most
         grid = _split_full_cells(grid, leaf_size)
         fullest = _fullest(grid)
-    # read five times below; lost blocks are recomputed
-    edges = _search(_leaves(grid, k, leaf_size).persist(StorageLevel.MEMORY_AND_DISK), k)
+    edges = _search(materialise(_leaves(grid, k, leaf_size)), k)  # read five times there
     return edges if stacked is None else edges.unionByName(stacked)
 
 
@@ -155,11 +155,19 @@ def _grid(pts: DataFrame, leaf_size: int) -> DataFrame:
 
 
 def _cells(grid: DataFrame) -> DataFrame:
-    return grid.groupBy(SAMPLE, "lvl", "cx", "cy").agg(F.count(F.lit(1)).alias("cnt"))
+    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    return grid.groupBy(SAMPLE, "lvl", "cx", "cy").agg(
+        F.count(F.lit(1)).alias("cnt"), span.alias("span"), F.first("side").alias("whole"))
+
+
+def _splittable(cells: DataFrame) -> DataFrame:
+    # the points of a cell without extent are one location, which no split parts
+    return cells.filter((F.col("lvl") < MAX_LEVEL) & (F.col("span") > 0))
 
 
 def _fullest(grid: DataFrame) -> int:
-    return _cells(grid).agg(F.max("cnt")).first()[0] or 0
+    """Points of the fullest cell that can still be split."""
+    return _splittable(_cells(grid)).agg(F.max("cnt")).first()[0] or 0
 
 
 def _stacked(pts: DataFrame, leaf_size: int) -> bool:
@@ -169,11 +177,7 @@ def _stacked(pts: DataFrame, leaf_size: int) -> bool:
 
 def _split_full_cells(grid: DataFrame, leaf_size: int) -> DataFrame:
     """Move the points of too full cells to a level that fits the extent of the points in the cell."""
-    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
-    full = (
-        grid.groupBy(SAMPLE, "lvl", "cx", "cy")
-        .agg(F.count(F.lit(1)).alias("cnt"), span.alias("span"), F.first("side").alias("whole"))
-        .filter((F.col("cnt") > leaf_size) & (F.col("lvl") < MAX_LEVEL) & (F.col("span") > 0)))
+    full = _splittable(_cells(grid)).filter(F.col("cnt") > leaf_size)
     wanted = F.ceil(F.log2(F.col("whole") / F.col("span") * F.sqrt(F.col("cnt") * 4 / F.lit(float(leaf_size)))))
     full = full.select(SAMPLE, "lvl", "cx", "cy", F.least(
         F.greatest(wanted, F.col("lvl") + 1), F.lit(MAX_LEVEL)).cast("int").alias("to"))

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotlake.operators.index import ROWS_PER_TASK, position
+from spotlake.operators.index import position
 
 
 def gene_totals(expr: DataFrame) -> DataFrame:
     return expr.groupBy("gene").agg(F.sum("count").alias("total_counts"))
 
 
-def gene_ranks(genes: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def gene_ranks(genes: DataFrame) -> DataFrame:
     """0-based descending ranks by total_counts and by morans_i; ties go by gene name."""
     filled = genes.withColumn("morans_i", F.coalesce("morans_i", F.lit(0.0)))
-    ranked = position(filled, [], [-F.col("total_counts"), F.col("gene")], "expr_rank", rows_per_task)
-    return position(ranked, [], [-F.round("morans_i", 9), F.col("gene")], "moran_rank", rows_per_task)
+    ranked = position(filled, [], [-F.col("total_counts"), F.col("gene")], "expr_rank")
+    return position(ranked, [], [-F.round("morans_i", 9), F.col("gene")], "moran_rank")
 
 
 def hybrid_order(ranked: DataFrame, svg_weight: float) -> DataFrame:
@@ -26,7 +26,7 @@ def hybrid_order(ranked: DataFrame, svg_weight: float) -> DataFrame:
         "hybrid", F.lit(1 - w) * F.col("expr_rank") + F.lit(w) * F.col("moran_rank"))
 
 
-def vocabulary(ordered: DataFrame, priority: DataFrame, num_genes: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def vocabulary(ordered: DataFrame, priority: DataFrame, num_genes: int) -> DataFrame:
     """Prioritised genes that occur in the data first, then the best others, up to ``num_genes``.
 
     Prioritised genes are never cut off. ``ordered`` has (gene, hybrid, ...); result has a 0-based pos.
@@ -34,7 +34,7 @@ def vocabulary(ordered: DataFrame, priority: DataFrame, num_genes: int, rows_per
     flagged = ordered.join(
         priority.select("gene").distinct().withColumn("__p", F.lit(1)), "gene", "left"
     ).withColumn("priority", F.col("__p").isNotNull()).drop("__p")
-    placed = position(flagged, [], [(~F.col("priority")).cast("int"), F.col("hybrid"), F.col("gene")], "pos", rows_per_task)
+    placed = position(flagged, [], [(~F.col("priority")).cast("int"), F.col("hybrid"), F.col("gene")], "pos")
     return placed.filter(F.col("priority") | (F.col("pos") < F.lit(num_genes)))
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotlake.operators.index import ROWS_PER_TASK, largest_group, position
+from spotlake.operators.index import position
 
+# Rows of a curve that one task walks over.
+PIECE = 100_000
 RUN_METRIC = ["run_name", "metric"]
 
 
@@ -30,19 +36,15 @@ def only_runs(df: DataFrame, runs: list[str]) -> DataFrame:
     return df.filter(F.col("run_name").isin(*runs))
 
 
-def moving_average(metrics: DataFrame, window: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def moving_average(metrics: DataFrame, window: int, piece: int = PIECE) -> DataFrame:
     """Trailing mean over the last ``window`` logged epochs of each (run, metric); nulls are left out first.
 
-    A very long curve is cut into pieces that overlap by ``window - 1`` rows.
+    Curves are cut into pieces of ``piece`` rows that overlap by ``window - 1`` rows.
     """
     if not 1 <= window <= 50:
         raise ValueError("window must be between 1 and 50")
-    rows = metrics.filter(F.col("value").isNotNull())
-    trail = Window.partitionBy(*RUN_METRIC).orderBy("epoch").rowsBetween(-(window - 1), 0)
-    if largest_group(rows, RUN_METRIC) <= rows_per_task:
-        return rows.withColumn("smoothed", F.avg("value").over(trail))
-    piece = max(rows_per_task, window)
-    placed = position(rows, RUN_METRIC, [F.col("epoch")], "__pos", rows_per_task)
+    piece = max(piece, window)
+    placed = position(metrics.filter(F.col("value").isNotNull()), RUN_METRIC, [F.col("epoch")], "__pos")
     own = F.floor(F.col("__pos") / piece)
     tail = F.col("__pos") % piece >= piece - (window - 1)
     copies = placed.withColumn("__own", own).withColumn(
@@ -52,59 +54,69 @@ def moving_average(metrics: DataFrame, window: int, rows_per_task: int = ROWS_PE
         F.col("__piece") == F.col("__own")).drop("__pos", "__own", "__piece")
 
 
-def best_so_far(losses: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Best earlier loss and whether the epoch is a new best (strictly lower), per run.
+def best_so_far(losses: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Best earlier loss and whether the epoch is a new best (strictly lower), per run."""
+    return _best_so_far(position(losses, ["run_name"], [F.col("epoch")], "__pos"), "__pos", piece).drop("__pos")
 
-    A very long run is cut into pieces: the best earlier loss is the lower of the best inside the piece
-    and the best of all pieces before.
-    """
-    def earlier(*keys: str):
-        return Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-
-    if largest_group(losses, ["run_name"]) <= rows_per_task:
-        out = losses.withColumn("best_before", F.min("val_loss").over(earlier("run_name")))
-    else:
-        placed = position(losses, ["run_name"], [F.col("epoch")], "__pos", rows_per_task)
-        cut = placed.withColumn("__piece", F.floor(F.col("__pos") / rows_per_task))
-        pieces = cut.groupBy("run_name", "__piece").agg(F.min("val_loss").alias("__m"))
-        before = Window.partitionBy("run_name").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-        pieces = pieces.select("run_name", "__piece", F.min("__m").over(before).alias("__prev"))
-        out = cut.withColumn("__in", F.min("val_loss").over(earlier("run_name", "__piece"))).join(
-            pieces, ["run_name", "__piece"]).withColumn("best_before", F.least("__in", "__prev")).drop(
-            "__pos", "__piece", "__in", "__prev")
+
+def _best_so_far(placed: DataFrame, pos: str, piece: int) -> DataFrame:
+    """Runs are cut into pieces: the best earlier loss is the lower of the best inside the piece and before it."""
+
+    def earlier(order: str, *keys: str):
+        return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    cut = placed.withColumn("__piece", F.floor(F.col(pos) / piece))
+    pieces = cut.groupBy("run_name", "__piece").agg(F.min("val_loss").alias("__m"))
+    pieces = pieces.select("run_name", "__piece", F.min("__m").over(earlier("__piece", "run_name")).alias("__prev"))
+    out = cut.withColumn("__in", F.min("val_loss").over(earlier(pos, "run_name", "__piece"))).join(
+        pieces, ["run_name", "__piece"]).withColumn("best_before", F.least("__in", "__prev")).drop("__piece", "__in", "__prev")
     return out.withColumn(
         "is_best", F.col("val_loss").isNotNull() & (F.col("best_before").isNull() | (F.col("val_loss") < F.col("best_before"))))
 
 
-def early_stop(
-    losses: DataFrame, patience: int = 15, min_delta: float = 0.0, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def early_stop(losses: DataFrame, patience: int = 15, min_delta: float = 0.0, piece: int = PIECE) -> DataFrame:
     """Epoch at which patience ends, per run; NULL when the run is never stopped.
 
     ``min_delta`` makes the best value depend on the path, so this is a fold. Only a loss below all
     earlier losses can be accepted, hence the fold walks over these records and not over all epochs: the
-    last accepted position plus ``patience`` is the stop unless a record is accepted before.
+    last accepted position plus ``patience`` is the stop unless a record is accepted before. The records of
+    a run pass one task as a sorted stream, of which it holds one row.
     """
-    placed = position(losses, ["run_name"], [F.col("epoch")], "pos", rows_per_task)
-    records = best_so_far(placed, rows_per_task).filter("is_best").groupBy("run_name").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "val_loss"))).alias("h"))
-    start = F.struct(
-        F.lit(float("inf")).alias("best"), F.lit(-1).cast("bigint").alias("at"), F.lit(False).alias("stopped"))
-
-    def step(s: Column, r: Column) -> Column:
-        over = s.stopped | (r.pos > s.at + patience)
-        better = ~over & (r.val_loss < s.best - F.lit(float(min_delta)))
-        return F.struct(F.when(better, r.val_loss).otherwise(s.best).alias("best"),
-                        F.when(better, r.pos).otherwise(s.at).alias("at"), over.alias("stopped"))
-
-    state = records.select("run_name", F.aggregate("h", start, step).alias("s")).select(
-        "run_name", F.col("s.best").alias("best_loss"), (F.col("s.at") + patience).alias("pos"))
+    placed = position(losses, ["run_name"], [F.col("epoch")], "pos")
+    records = _best_so_far(placed, "pos", piece).filter("is_best").select("run_name", "pos", "val_loss")
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, best, at, over, started = None, math.inf, -1, False, False
+        for part in parts:
+            done = []
+            for name, pos, loss in zip(part["run_name"], part["pos"], part["val_loss"], strict=True):
+                if not started or name != run:
+                    if started:
+                        done.append((run, best, at + patience))
+                    run, best, at, over, started = name, math.inf, -1, False, True
+                over = over or pos > at + patience
+                if not over and loss < best - min_delta:
+                    best, at = loss, pos
+            yield pd.DataFrame(done, columns=["run_name", "best_loss", "pos"])
+        if started:
+            yield pd.DataFrame([(run, best, at + patience)], columns=["run_name", "best_loss", "pos"])
+
+    state = records.repartition("run_name").sortWithinPartitions("run_name", "pos").mapInPandas(
+        fold, f"run_name {records.schema['run_name'].dataType.simpleString()}, best_loss double, pos bigint")
     at = placed.select("run_name", "pos", F.col("epoch").cast("int").alias("stop_epoch"))
     every = losses.select("run_name").distinct().join(state, "run_name", "left").withColumn(
         "pos", F.coalesce("pos", F.lit(patience - 1)))  # without any loss the wait starts before the first epoch
     return every.join(at, ["run_name", "pos"], "left").select("run_name", "stop_epoch", "best_loss")
 
 
+def elapsed_fields(metrics: DataFrame) -> DataFrame:
+    """(run_name, runtime_seconds, epochs_completed) from the time stamps of a run's metrics."""
+    micros = [f(F.unix_micros(F.col("ts").cast("timestamp"))) for f in (F.max, F.min)]
+    cells = metrics.groupBy("run_name", "epoch").agg(micros[0].alias("hi"), micros[1].alias("lo"))
+    return cells.groupBy("run_name").agg(
+        F.round((F.max("hi") - F.min("lo")) / 1000000.0, 1).alias("runtime_seconds"), F.count(F.lit(1)).alias("epochs_completed"))
+
+
 def run_summary(table: DataFrame, loss: str = "val_loss") -> DataFrame:
     """Best loss and its epoch, epochs completed and the last row, from a wide (run, epoch, ...) table."""
     rest = [c for c in table.columns if c != "run_name"]

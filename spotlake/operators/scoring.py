@@ -24,11 +24,24 @@ def normalise(counts: DataFrame, target_sum: float = 10000.0) -> DataFrame:
     return counts.select(*SPOT, "gene", log_normalised(F.col("count"), F.col("library"), target_sum).alias("x"))
 
 
+def last_symbols(expr: DataFrame, var: DataFrame) -> DataFrame:
+    """Counts of the last ``var`` row of each (sample, gene), for panels that list a symbol twice.
+
+    Both tables carry the position ``pos`` of the row in ``var``. What goes is the short list of earlier rows, so
+    the counts meet it in an anti join and are not grouped; a last row without a count in a spot means 0 there.
+    """
+    rows = var.select("sample_id", "gene", "pos").distinct()
+    last = rows.groupBy("sample_id", "gene").agg(F.max("pos").alias("__last"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    earlier = rows.join(last, ["sample_id", "gene"]).filter("pos < __last").select("sample_id", "gene", "pos")
+    return expr.join(earlier, ["sample_id", "gene", "pos"], "left_anti")
+
+
 def gene_moments(x: DataFrame, n_spots: DataFrame) -> DataFrame:
     """Mean and population deviation per (sample, gene), zeros included; a zero deviation becomes 1."""
     stored = x.groupBy("sample_id", "gene").agg(
         F.count(F.lit(1)).alias("m"), F.avg("x").alias("mu_stored"), F.var_pop("x").alias("v_stored"))
     m, n = F.col("m").cast("double"), F.col("n_spots").cast("double")
+    n = F.when(m > n, F.raise_error(F.lit("a gene has several counts in one spot; see last_symbols"))).otherwise(n)
     variance = centred_square_sum(F.col("mu_stored"), F.col("v_stored"), m, n) / n
     return stored.join(n_spots, "sample_id").select(
         "sample_id", "gene", (F.col("mu_stored") * m / n).alias("mu"),

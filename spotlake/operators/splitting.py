@@ -5,21 +5,18 @@ Draws use md5 of ``seed:key``, never ``rand()``: they do not depend on partition
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotlake.functions.scalars import seeded_hash
 from spotlake.functions.vectors import zeros_like
-from spotlake.operators.index import ROWS_PER_TASK, position
+from spotlake.operators.index import position
 
 SPOT = ["sample_id", "barcode"]
 
 
 def patient_split(
     samples: DataFrame, val_ratio: float = 0.2, test_ratio: float = 0.0, seed: int = 42,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """(id, patient_group, split): no patient is in two splits; a missing patient is its own group.
 
@@ -29,11 +26,11 @@ def patient_split(
     grouped = samples.withColumn("patient_group", F.coalesce(F.col("patient"), F.col("id").cast("string")))
     groups = grouped.select("patient_group").distinct()
     total = groups.agg(F.count(F.lit(1))).scalar()
-    placed = position(groups, [], [seeded_hash(seed, F.col("patient_group")), F.col("patient_group")], "pos", rows_per_task)
+    placed = position(groups, [], [seeded_hash(seed, F.col("patient_group")), F.col("patient_group")], "pos")
     held = F.ceil(F.lit(float(val_ratio + test_ratio)) * total)
     split: Column = F.when(F.col("pos") >= held, "train")
     if test_ratio > 0:
-        share = 1.0 - val_ratio / (val_ratio + test_ratio)
+        share = test_ratio / (val_ratio + test_ratio)
         # held-out groups are in hash order already: the tail of them is the test part
         n_test = F.when(held > 1, F.ceil(F.lit(share) * held)).otherwise(0)
         split = split.when(F.col("pos") >= held - n_test, "test")
@@ -41,11 +38,10 @@ def patient_split(
         "id", "patient_group", "split")
 
 
-def random_split(ids: DataFrame, val_ratio: float = 0.2, seed: int = 42, key: str = "id",
-                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def random_split(ids: DataFrame, val_ratio: float = 0.2, seed: int = 42, key: str = "id") -> DataFrame:
     """Split without patients: cut the hash order at ``int(n * (1 - val_ratio))``; one id goes to both."""
     n = ids.agg(F.count(F.lit(1))).scalar()
-    placed = position(ids.select(key), [], [seeded_hash(seed, F.col(key)), F.col(key)], "pos", rows_per_task)
+    placed = position(ids.select(key), [], [seeded_hash(seed, F.col(key)), F.col(key)], "pos")
     cut = F.floor(n * F.lit(1.0 - val_ratio))
     both = F.array(F.lit("train"), F.lit("val"))
     one = F.array(F.when(F.col("pos") < cut, "train").otherwise("val"))
@@ -81,6 +77,3 @@ def neighbour_dropout(sequence: DataFrame, k: int, seed: int = 42) -> DataFrame:
         sequence.withColumn("dropped", (F.col("rank") > 0) & (F.row_number().over(order) <= n_drop))
         .withColumn("features", F.when(F.col("dropped"), zeros_like(F.col("features"))).otherwise(F.col("features"))))
 
-
-def holdout_size(n_groups: int, ratio: float) -> int:
-    return math.ceil(ratio * n_groups)

@@ -36,8 +36,11 @@ def pathway_activities(
 ) -> Activities:
     """Scores of all samples in one plan; samples that cannot be scored are listed, not raised.
 
+    Where a panel lists a symbol twice, ``var`` and ``expr`` carry ``pos`` and the last row counts.
     A sample is rejected when no spot passes QC, or when fewer than ``min_pathways`` sets are scorable.
     """
+    if "pos" in var.columns and "pos" in expr.columns:
+        expr = scoring.last_symbols(expr, var)
     counts = qc.passing_counts(expr, t.min_umis, t.min_genes, t.max_mt)
     passed = qc.passing_spots_of(obs, expr, counts, t.min_umis, t.min_genes, t.max_mt)
     sizes = scoring.set_sizes(obs, var, gene_sets, t.min_set_genes)

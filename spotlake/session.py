@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "spotlake") -> SparkSession:
-    """A session for tests and benches; on a cluster the submitter sets these values."""
+def build_session(master: str = "local[*]", shuffle_partitions: int | None = None, app: str = "spotlake") -> SparkSession:
+    """A session for tests and benches; on a cluster the submitter sets these values.
+
+    ``shuffle_partitions`` is for small local data; left out, Spark's own value holds.
+    """
+    builder = SparkSession.builder.master(master).appName(app)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # hash instead of sort where every measured partition of one side is small
@@ -36,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured and not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         configured = tempfile.mkdtemp(prefix="spotlake-")
     if configured and not context.getCheckpointDir():
@@ -45,8 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other call gets.
+
+    All paths of an application lie in one folder of its own, which is removed when the application ends.
+    """
+    home = f"{shared_dir(spark)}/work-{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(home)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,16 +11,16 @@ def from_csr(blocks: DataFrame) -> DataFrame:
 
     A slide may come in any number of blocks; each block is expanded on its own.
     """
-    spots = blocks.select("*", F.posexplode("barcodes").alias("row", "barcode"))
-    start = F.element_at("indptr", F.col("row") + 1)
-    length = F.element_at("indptr", F.col("row") + 2) - start
-    cells = spots.select(
-        "sample_id", "barcode", "genes",
-        F.explode(F.arrays_zip(
-            F.slice("indices", start + 1, length).alias("i"), F.slice("data", start + 1, length).alias("v"))).alias("c"))
-    return cells.select(
-        "sample_id", "barcode", F.element_at("genes", F.col("c.i") + 1).alias("gene"),
-        F.col("c.v").cast("double").alias("count")).filter(F.col("count") != 0)
+
+    def cells(barcode: Column, row: Column) -> Column:
+        start, end = F.get("indptr", row), F.get("indptr", row + 1)
+        places = F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
+        return F.struct(barcode.alias("barcode"), F.transform(places, lambda p: F.struct(
+            F.get("genes", F.get("indices", p)).alias("gene"), F.get("data", p).cast("double").alias("count"))).alias("cells"))
+
+    # Only the cells of a spot leave a block, never its arrays.
+    spots = blocks.select("sample_id", F.inline(F.transform("barcodes", cells)))
+    return spots.select("sample_id", "barcode", F.inline("cells")).filter(F.col("count") != 0)
 
 
 def from_dense(rows: DataFrame, gene_index: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def metadata(obs: DataFrame, var: DataFrame, images: DataFrame, scalefactors: Da
     shapes = images.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.concat_ws(
         "x", F.concat_ws(":", "image_key", F.col("h").cast("string")), F.col("w").cast("string")))).alias("s"))
     factors = scalefactors.groupBy("sample_id").agg(
-        F.array_sort(F.collect_list(F.concat_ws("=", "key", F.format_number("value", 4)))).alias("f"))
+        F.array_sort(F.collect_list(F.concat_ws("=", "key", F.format_string("%.4f", F.col("value").cast("double"))))).alias("f"))
     return (
         obs.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_spots"))
         .join(var.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_genes")), "sample_id", "left")
@@ -50,7 +50,8 @@ def choose_image(images: DataFrame, scalefactors: DataFrame, wanted: str | None
     """One image and scale factor per sample.
 
     Image: the wanted one, else the preferred key, else the first by name. Factor: ``tissue_<key>_scalef``,
-    else the first key containing both the image key and ``scalef``, else the first by name.
+    else the first key containing both the image key and ``scalef``, else the first by name. A sample
+    without any factor keeps its image, with nulls.
     """
     rank = F.when(F.col("image_key") == (wanted or preferred), 0).otherwise(1)
     if wanted:
@@ -62,5 +63,5 @@ def choose_image(images: DataFrame, scalefactors: DataFrame, wanted: str | None
     order = F.struct(F.when(exact, 0).when(close, 1).otherwise(2), F.col("key"))
     factor = image.join(scalefactors, "sample_id").groupBy("sample_id").agg(
         F.min_by(F.struct("key", "value"), order).alias("f"))
-    return image.join(factor, "sample_id").select(
+    return image.join(factor, "sample_id", "left").select(
         "sample_id", "image_key", "h", "w", F.col("f.key").alias("scale_key"), F.col("f.value").alias("scalef"))

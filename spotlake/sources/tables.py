@@ -66,6 +66,12 @@ def discover_samples(spark: SparkSession, path: str, extension: str) -> DataFram
     return files.select(F.substring(name, F.lit(1), F.length(name) - F.lit(len(extension))).alias("id"), "path")
 
 
+def sample_folders(spark: SparkSession, path: str, extension: str) -> DataFrame:
+    """Folders right above files with an extension, once each, as ``sample_id=...`` layouts have them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{extension}").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+
+
 def candidate_feature_dirs(root: str, backbone: str | None = None, explicit: str | None = None) -> list[str]:
     """Feature folders in order of preference. The folder names of the data layout."""
     if explicit:

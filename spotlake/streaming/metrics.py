@@ -60,26 +60,32 @@ def one_row_per_epoch(stream: DataFrame, time: str = "ts", delay: str = "1 day")
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(ROW)
 
 
-STOP_OUT = "run_name STRING, stop_epoch INT, best_loss DOUBLE"
-STOP_STATE = "best DOUBLE, wait INT, stop INT"
+STOP_OUT = "run_name STRING, stop_epoch INT, best_loss DOUBLE, n_late INT"
+STOP_STATE = "best DOUBLE, wait INT, stop INT, last INT, late INT"
 
 
 def early_stopping(stream: DataFrame, patience: int = 15, min_delta: float = 0.0) -> DataFrame:
     """Early-stopping state per run kept across arrivals; emits the state after each arrival.
 
-    Epochs of a run have to arrive in order; inside one arrival they are sorted here.
+    Inside one arrival epochs are sorted here. An epoch that comes after a later one was seen, in an earlier
+    arrival, cannot change what was decided: it is left out and counted in ``n_late``.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, wait, stop = state.get if state.exists else (float("inf"), 0, None)
+        best, wait, stop, last, late = state.get if state.exists else (float("inf"), 0, None, None, 0)
+        seen = last
         rows = sorted((int(e), float(v)) for pdf in parts for e, v in zip(pdf["epoch"], pdf["val_loss"]))
         for epoch, loss in rows:
+            if seen is not None and epoch <= seen:
+                late += 1
+                continue
+            last = epoch
             if stop is not None:
-                break
+                continue
             best, wait = (loss, 0) if loss < best - min_delta else (best, wait + 1)
             stop = epoch if wait >= patience else None
-        state.update((best, wait, stop))
-        yield pd.DataFrame({"run_name": [key[0]], "stop_epoch": pd.array([stop], dtype="Int32"), "best_loss": [best]})
+        state.update((best, wait, stop, last, late))
+        yield pd.DataFrame({"run_name": [key[0]], "stop_epoch": pd.array([stop], dtype="Int32"), "best_loss": [best], "n_late": [late]})
 
     return stream.groupBy("run_name").applyInPandasWithState(
         step, STOP_OUT, STOP_STATE, "update", GroupStateTimeout.NoTimeout)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spotlake.plans.activities import Thresholds, pathway_activities
-from spotlake.sources.tables import exists, pending, write_activities
+from spotlake.sources.tables import exists, pending, write_activities, write_by_sample
 
 
 def process_new_samples(
@@ -17,7 +18,9 @@ def process_new_samples(
 ) -> StreamingQuery:
     """``arrivals`` streams (sample_id). ``tables(ids)`` returns obs, var and expr of these samples.
 
-    Finished samples are skipped. A repeated batch rewrites the partitions of its own samples only.
+    Finished samples are skipped. A repeated batch rewrites the partitions of its own samples only. Samples that
+    cannot be scored are written to ``rejected`` with a reason, those without any spot too; they are tried again
+    when they arrive again.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -29,6 +32,8 @@ def process_new_samples(
             return
         obs, var, expr = tables(ids)
         result = pathway_activities(obs, var, expr, gene_sets, t)
+        absent = ids.join(obs.select("sample_id").distinct(), "sample_id", "left_anti").select("sample_id", F.lit("no data").alias("reason"))
+        write_by_sample(result.rejected.unionByName(absent), f"{root}/rejected", overwrite=True)
         # qc_attrs marks a sample as finished, and is written last
         write_activities(result.scores, result.morans, result.attrs, root, overwrite=True)
 

@@ -45,7 +45,7 @@ def main() -> None:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     parts = sys.argv[2:]
-    spark = build_session("local[8]")
+    spark = build_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{sf}"
     con = connect(sf_dir)

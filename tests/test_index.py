@@ -15,7 +15,7 @@ def rows(spark):
 
 def test_large_groups_equal_plain_sort(rows):
     data, df = rows
-    got = {(r.g, r.k): r.pos for r in position(df, ["g"], [-F.col("v"), F.col("k")], "pos", rows_per_task=10).collect()}
+    got = {(r.g, r.k): r.pos for r in position(df, ["g"], [-F.col("v"), F.col("k")], "pos").collect()}
     for g in (0, 1, 2):
         want = [k for _, k, _, _ in sorted((r for r in data if r[0] == g), key=lambda r: (-r[2], r[1]))]
         assert [got[g, k] for k in want] == list(range(len(want)))
@@ -23,9 +23,14 @@ def test_large_groups_equal_plain_sort(rows):
 
 def test_without_groups(rows):
     data, df = rows
-    small = [r.n for r in position(df, [], [F.col("k")], "pos").orderBy("pos").collect()]
-    large = [r.n for r in position(df, [], [F.col("k")], "pos", rows_per_task=10).orderBy("pos").collect()]
-    assert small == large == [r[3] for r in sorted(data, key=lambda r: r[1])]
+    found = [(r.n, r.pos) for r in position(df, [], [F.col("k")], "pos").orderBy("pos").collect()]
+    assert found == [(r[3], i) for i, r in enumerate(sorted(data, key=lambda r: r[1]))]
+
+
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), (1, 2), (None, 2)], "g INT, n INT")
+    got = sorted((r.g or 0, r.n, r.pos) for r in position(df, ["g"], [F.col("n")], "pos").collect())
+    assert got == [(0, 1, 0), (0, 2, 1), (0, 3, 2), (1, 2, 0)]
 
 
 def test_by_number(rows):

@@ -36,8 +36,8 @@ def test_scoring_hooks(features):
     assert got[1, 2, "sum"] == 18 and got[1, 2, "x"] == 2 and len(got) == 24
     slide = {(r.sample_id, r.pathway): r.score for r in inference.score_slides(dense).collect()}
     assert slide[0, "x"] == 2.5
-    with pytest.raises(ValueError):
-        inference.score_spots(features, model, ["sum", "x"], 5)
+    with pytest.raises(Exception, match="expected feature vectors of length 5, found 4"):
+        inference.score_spots(features, model, ["sum", "x"], 5).collect()
     with pytest.raises(ValueError):
         inference.score_spots(features.drop("x"), model, ["sum", "x"], 4)
 
@@ -47,7 +47,10 @@ def test_feature_extraction(spark):
     df = spark.createDataFrame([(0, i, 0.0, 0.0, img, 2, 2, 3) for i in range(5)],
                                "sample_id INT, barcode INT, x DOUBLE, y DOUBLE, img BINARY, h INT, w INT, c INT")
     out = inference.extract_features(df, lambda: (lambda b: b.reshape(len(b), -1)), 2).collect()
-    assert len(out) == 5 and out[0].features == pytest.approx(inference.preprocess(inference.decode_patch(img, 2, 2, 3)).ravel(), abs=1e-5)
+    moved = inference.extract_features(df.selectExpr("*", "barcode % 8 AS op"), lambda: (lambda b: b.reshape(len(b), -1)), 2).collect()
+    for r in moved:
+        assert r.features == pytest.approx(inference.preprocess(inference.decode_patches([img], 2, 2, 3)[0], r.barcode % 8).ravel(), abs=1e-5)
+    assert len(out) == 5 and out[0].features == pytest.approx(inference.preprocess(inference.decode_patches([img], 2, 2, 3)[0]).ravel(), abs=1e-5)
 
 
 def test_dropout_never_touches_the_centre(spark, features):

@@ -52,6 +52,23 @@ def test_exact_on_every_shape(points, slide_size):
     assert edges(knn_edges(df, 6, slide_size=slide_size)) == brute(pdf, 6)
 
 
+@pytest.mark.parametrize("k", [2, 6])
+def test_spots_without_coordinates_neither_ask_nor_answer(spark, k):
+    good = [(0, i, float(i * i % 7), float(i)) for i in range(6)] + [(1, i, float(i), 0.5) for i in range(150)]
+    bad = [(0, 90, float("nan"), 1.0), (0, 91, None, 1.0), (0, 92, 2.0, float("inf")), (1, 900, float("nan"), float("nan")), (2, 1, None, None)]
+    schema = "sample_id INT, barcode INT, x DOUBLE, y DOUBLE"
+    want = brute(pd.DataFrame(good, columns=["sample_id", "barcode", "x", "y"]), k)
+    for slide_size in (4096, 100, 0):
+        assert edges(knn_edges(spark.createDataFrame(good + bad, schema), k, slide_size=slide_size)) == want
+
+
+def test_cells_are_split_until_they_fit(spark):
+    """Clusters inside clusters, each a thousand times smaller: more rounds than any fixed number of them."""
+    xy = [(sum(10.0 ** -(3 * d) for d in range(depth)) + j * 10.0 ** -(3 * depth + 1), j * 10.0 ** -(3 * depth)) for depth in range(1, 5) for j in range(40)]
+    df = pd.DataFrame([(0, i, x, y) for i, (x, y) in enumerate(xy)], columns=["sample_id", "barcode", "x", "y"])
+    assert edges(knn_edges(spark.createDataFrame(df), 3, slide_size=0, leaf_size=8)) == brute(df, 3)
+
+
 def test_small_leaves(points):
     pdf, df = points
     assert edges(knn_edges(df, 3, slide_size=0, leaf_size=6)) == brute(pdf, 3)

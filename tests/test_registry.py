@@ -55,7 +55,7 @@ def test_patient_split(spark):
     assert len(got) == 6 and got["S1"] == got["S2"] and got["S3"] == got["S4"]
     assert len({r.patient_group for r in split.filter("split = 'val'").collect()}) == 1
     assert splitting.leaking_patients(split).count() == 0
-    again = {r.id: r.split for r in splitting.patient_split(df.repartition(3), 0.25, rows_per_task=1).collect()}
+    again = {r.id: r.split for r in splitting.patient_split(df.repartition(3), 0.25).collect()}
     assert again == got
     alone = spark.createDataFrame([("S1", None), ("S2", None), ("S3", None)], "id STRING, patient STRING")
     sizes = {r.split: r.n for r in splitting.split_counts(splitting.patient_split(alone, 0.34)).collect()}

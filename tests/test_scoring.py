@@ -69,3 +69,15 @@ def test_plan_is_whole_and_moran_is_clipped(slide):
     morans = {r.pathway: r.morans_i for r in a.morans.collect()}
     assert set(morans) == {"A", "B", "C", "D"} and min(morans.values()) >= 0 and morans["D"] == 0
     assert a.attrs.first().n_spots_after_qc == 12
+
+
+def test_last_of_two_symbols_counts(spark):
+    var = spark.createDataFrame([(0, "a", 0), (0, "b", 1), (0, "a", 2), (1, "a", 0)], "sample_id INT, gene STRING, pos INT")
+    rows = [(0, 1, "a", 0, 1.0), (0, 1, "a", 2, 5.0), (0, 2, "a", 0, 7.0), (0, 2, "b", 1, 2.0), (1, 1, "a", 0, 3.0)]
+    expr = spark.createDataFrame(rows, "sample_id INT, barcode INT, gene STRING, pos INT, count DOUBLE")
+    kept = scoring.last_symbols(expr, var)
+    assert sorted((r.sample_id, r.barcode, r.gene, r["count"]) for r in kept.collect()) == [(0, 1, "a", 5.0), (0, 2, "b", 2.0), (1, 1, "a", 3.0)]
+    n = spark.createDataFrame([(0, 1), (1, 1)], "sample_id INT, n_spots BIGINT")
+    twice = expr.filter("sample_id = 0 AND barcode = 1").withColumn("x", F.col("count"))
+    with pytest.raises(Exception, match="several counts in one spot"):
+        scoring.gene_moments(twice, n).collect()

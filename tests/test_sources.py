@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotlake import schemas
-from spotlake.operators import align
+from spotlake.operators import align, coordinates
 from spotlake.session import work_path
 from spotlake.sources import expression, genesets, tables
 
@@ -77,7 +77,27 @@ def test_injected_table_checks(spark):
                                   "sample_id INT, barcode INT, pathway STRING, score DOUBLE")
     out = align.injected_table(obs, preds, align.default_names(2))
     assert out.columns == ["sample_id", "barcode", "x", "y", "pathway_0", "pathway_1"] and out.count() == 2
-    with pytest.raises(ValueError):
-        align.injected_table(obs, preds.filter("barcode = 1"), align.default_names(2))
-    with pytest.raises(ValueError):
-        align.injected_table(obs, preds, align.default_names(3))
+    bad = {
+        "spot without": preds.filter("barcode = 1"), "prediction without": preds.withColumn("barcode", F.col("barcode") + 1),
+        "missing or repeated": preds.filter("NOT (barcode = 1 AND pathway = 'pathway_1')"), "unknown pathway": preds.replace("pathway_1", "other", ["pathway"]),
+    }
+    for message, rows in bad.items():
+        with pytest.raises(Exception, match=message):
+            align.injected_table(obs, rows, align.default_names(2)).collect()
+    with pytest.raises(Exception, match="missing or repeated"):
+        align.injected_table(obs, preds.union(preds.limit(1)), align.default_names(2)).collect()
+    with pytest.raises(Exception, match="missing or repeated"):
+        align.injected_table(obs, preds, align.default_names(3)).collect()
+
+
+def test_nothing_is_lost_without_weights_or_factors(spark):
+    spots = spark.createDataFrame([(0, 1, 2.0, 4.0), (1, 1, 2.0, 4.0)], "sample_id INT, barcode INT, x DOUBLE, y DOUBLE")
+    weights = spark.createDataFrame([(0, "p", 0.5)], "sample_id INT, pathway STRING, morans_i DOUBLE")
+    assert sorted((r.sample_id, r.morans_i) for r in align.attach_weights(spots, weights).collect()) == [(0, 0.5), (1, None)]
+    images = spark.createDataFrame([(0, "hires", 10, 10), (1, "hires", 5, 5)], "sample_id INT, image_key STRING, h INT, w INT")
+    factors = spark.createDataFrame([(0, "tissue_hires_scalef", 1234.5)], "sample_id INT, key STRING, value DOUBLE")
+    chosen = expression.choose_image(images, factors)
+    assert sorted((r.sample_id, r.scalef) for r in chosen.collect()) == [(0, 1234.5), (1, None)]
+    assert sorted((r.sample_id, r.x) for r in coordinates.to_image_space(spots, chosen).collect()) == [(0, 2469.0), (1, None)]
+    card = expression.metadata(spots, spots.select("sample_id", F.lit("g").alias("gene")), images, factors).collect()
+    assert {r.sample_id: r.scalefactors for r in card} == {0: "tissue_hires_scalef=1234.5000", 1: None}
