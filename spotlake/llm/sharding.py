@@ -50,28 +50,32 @@ def _digits(slack_bytes: float) -> list[Column]:
     return out
 
 
-def _limits(rows: DataFrame, free: dict[int, int], digits: list[Column]) -> dict[int, list[int]]:
-    """For each shard of ``free`` that ``rows`` would fill: digits of the last row it takes.
+def _limits(rows: DataFrame, free: dict[int, int], digits: list[Column]) -> tuple[dict[int, list[int]], dict[int, int], int]:
+    """(limits, bytes, rows): for each shard of ``free`` that ``rows`` would fill, the digits of the last row it takes.
 
-    A shard takes rows while the bytes before them are fewer than its free bytes.
+    A shard takes rows while the bytes before them are fewer than its free bytes. bytes and rows count all of ``rows``.
     """
     limits: dict[int, list[int]] = {}
+    totals: dict[int, int] = {}
+    n_rows = 0
     asked = dict(free)
-    for digit in digits:
+    for level, digit in enumerate(digits):
         cut = rows
-        if limits:
+        if level:
             at_limit = F.lit(False)
-            for shard, prefix in limits.items():
-                if shard in asked:
-                    same = F.col("shard") == shard
-                    for known, value in zip(digits, prefix, strict=False):
-                        same = same & (known == value)
-                    at_limit = at_limit | same
+            for shard in asked:
+                same = F.col("shard") == shard
+                for known, value in zip(digits, limits[shard], strict=False):
+                    same = same & (known == value)
+                at_limit = at_limit | same
             cut = rows.where(at_limit)
         bins = cut.groupBy("shard", digit.alias("bin")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
         by_shard: dict[int, list] = {}
         for b in sorted(bins, key=lambda b: b.bin):
             by_shard.setdefault(b.shard, []).append(b)
+            if not level:
+                totals[b.shard] = totals.get(b.shard, 0) + b.bytes
+                n_rows += b.n
         for shard in list(asked):
             before, stop = 0, None
             for b in by_shard.get(shard, []):
@@ -88,7 +92,7 @@ def _limits(rows: DataFrame, free: dict[int, int], digits: list[Column]) -> dict
                 del asked[shard]
         if not asked:
             break
-    return limits
+    return limits, totals, n_rows
 
 
 def _within(limits: dict[int, list[int]], digits: list[Column]) -> Column:
@@ -121,17 +125,15 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, s
     placed, left = None, rows
     while True:
         asked = stored(left.withColumn("shard", _clockwise(at, owner, full, "at")), "asked")
-        limits = _limits(asked, {s: room - load[s] for s in range(shards) if s not in full}, digits)
+        limits, totals, n_rows = _limits(asked, {s: room - load[s] for s in range(shards) if s not in full}, digits)
         taken = asked.where(_within(limits, digits))
         placed = taken if placed is None else placed.union(taken)
-        if not limits:
+        if not limits or not n_rows:
             break
-        for b in taken.groupBy("shard").agg(F.sum("size").alias("bytes")).collect():
-            load[b.shard] += b.bytes
+        for shard, held in totals.items():
+            load[shard] += held
         full |= set(limits)
         left = asked.where(~_within(limits, digits))
-        if left.isEmpty():
-            break
     return placed.drop("at")
 
 
