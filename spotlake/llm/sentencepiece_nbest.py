@@ -25,7 +25,8 @@ from spotlake.llm.memo import Remembered
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-BYTE_COST = 30.0  # score of a byte that stands for a letter outside the vocabulary, negated
+UNIT = 1_000_000  # scores are integers in millionths, so that sums are exact and ties are ties
+BYTE_COST = 30 * UNIT  # score of a byte that stands for a letter outside the vocabulary, negated
 
 
 class Pieces:
@@ -37,7 +38,7 @@ class Pieces:
         model = SentencePieceProcessor(model_file=path)
         self.text: dict[int, bytes] = {}
         self.ids: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
+        self.scores: dict[str, int] = {}
         self.bytes: dict[int, int] = {}
         normal = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         for i in range(model.get_piece_size()):
@@ -48,14 +49,14 @@ class Pieces:
             piece = model.id_to_piece(i)
             if SPACE in piece.lstrip(SPACE):
                 raise ValueError("a piece reaches over the start of a word")
-            self.ids[piece], self.scores[piece] = i, -math.log(rank + 2)
+            self.ids[piece], self.scores[piece] = i, -round(UNIT * math.log(rank + 2))
             self.text[i] = piece.replace(SPACE, " ").encode()
         self.matcher = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             self.matcher.add_word(piece, (len(piece), self.scores[piece], (i,)))
         self.matcher.make_automaton()
 
-    def edges(self, word: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
+    def edges(self, word: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
         """Edges (start, end, score, ids) of the lattice, by end; a letter outside the vocabulary is an edge of bytes."""
         edges = [(last + 1 - size, last + 1, score, ids) for last, (size, score, ids) in self.matcher.iter(word)]
         missing = [at for at, letter in enumerate(word) if letter not in self.scores]
@@ -66,7 +67,7 @@ class Pieces:
             edges.sort(key=lambda e: e[1])
         return edges
 
-    def best(self, word: str) -> tuple[bytes, float, float]:
+    def best(self, word: str) -> tuple[bytes, int, float]:
         """(ids of the best path, its score, what the next path loses; infinite if there is none).
 
         The next path leaves the best one by some edge, so the loss is the least over all other edges of what the
@@ -74,13 +75,14 @@ class Pieces:
         """
         edges = self.edges(word)
         best, came = _forward(edges, len(word))
-        path, at, used = [], len(word), set()
+        parts, at, used = [], len(word), set()
         while at:
             edge = came[at]
             used.add(edge[:2])
-            path[:0] = edge[3]
+            parts.append(edge[3])
             at = edge[0]
-        rest = [-math.inf] * len(word) + [0.0]
+        path = [i for ids in reversed(parts) for i in ids]
+        rest = [-math.inf] * len(word) + [0]
         loss = math.inf
         for start, end, score, _ in reversed(edges):
             onward = score + rest[end]
@@ -88,30 +90,38 @@ class Pieces:
                 rest[start] = onward
             if (start, end) not in used:
                 loss = min(loss, best[-1] - best[start] - onward)
-        return struct.pack(f"<{len(path)}I", *path), best[-1], max(0.0, loss)
+        return struct.pack(f"<{len(path)}I", *path), best[-1], loss
 
-    def nbest(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best paths of a lattice, by score, then by ids of a path from its end (backward A*)."""
+    def nbest(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The ``n`` best paths of a lattice as (score, ids), best first (backward A*).
+
+        An agenda entry is a path from some place to the end, as a chain of edges. Of entries with equal hopes the
+        newest goes first: a tie is followed to the beginning instead of being spread out.
+        """
         edges = self.edges(word)
         best, _ = _forward(edges, len(word))
         into: list[list] = [[] for _ in range(len(word) + 1)]
         for start, end, score, ids in edges:
             into[end].append((start, score, ids))
-        agenda = [(-best[-1], (), len(word), 0.0)]
-        found = []
+        agenda, pushed, found = [(-best[-1], 0, len(word), 0, None)], 0, []
         while agenda and len(found) < n:
-            _, tail, at, collected = heapq.heappop(agenda)
+            _, _, at, collected, tail = heapq.heappop(agenda)
             if at == 0:
-                found.append((collected, tuple(i for ids in reversed(tail) for i in ids)))
+                path: list[int] = []
+                while tail is not None:
+                    path += tail[0]
+                    tail = tail[1]
+                found.append((collected, tuple(path)))
                 continue
             for start, score, ids in into[at]:
-                heapq.heappush(agenda, (-(best[start] + score + collected), (*tail, ids), start, score + collected))
+                pushed -= 1
+                heapq.heappush(agenda, (-(best[start] + score + collected), pushed, start, score + collected, (ids, tail)))
         return found
 
 
-def _forward(edges: list[tuple[int, int, float, tuple[int, ...]]], size: int) -> tuple[list[float], list]:
+def _forward(edges: list[tuple[int, int, int, tuple[int, ...]]], size: int) -> tuple[list, list]:
     """Viterbi: the best score of each prefix, and the last edge of a path that has it."""
-    best, came = [0.0] + [-math.inf] * size, [None] * (size + 1)
+    best, came = [0] + [-math.inf] * size, [None] * (size + 1)
     for edge in edges:
         start, end, score, _ = edge
         if best[start] + score > best[end]:
@@ -129,7 +139,7 @@ class WordPaths(Remembered):
         self.next = Remembered()
         self.next.make = self.others
 
-    def others(self, word: str) -> list[tuple[float, bytes]]:
+    def others(self, word: str) -> list[tuple[int, bytes]]:
         """(loss, ids) of up to n paths, the first of which loses nothing."""
         paths = self.pieces.nbest(word, self.n)
         return [(paths[0][0] - score, struct.pack(f"<{len(ids)}I", *ids)) for score, ids in paths]
@@ -145,7 +155,7 @@ def chunks(text: str) -> list[str]:
     return _CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def encode_nbest(text: str, paths: WordPaths) -> list[tuple[float, bytes]]:
+def encode_nbest(text: str, paths: WordPaths) -> list[tuple[int, bytes]]:
     """The best ``paths.n`` segmentations of a text as (score, ids), best first; an empty text has one, without ids.
 
     Any of them leaves the best path in fewer than n words, and these can be taken among the words whose next path
@@ -153,12 +163,12 @@ def encode_nbest(text: str, paths: WordPaths) -> list[tuple[float, bytes]]:
     """
     words = chunks(text)
     if not words:
-        return [(0.0, b"")]
+        return [(0, b"")]
     best, scores, losses = zip(*map(paths.__getitem__, words), strict=True)
     near = [at for at in heapq.nsmallest(paths.n - 1, range(len(words)), key=losses.__getitem__) if losses[at] < math.inf]
     options = [paths.next[words[at]] for at in near]
-    score = math.fsum(scores)
-    agenda: list[tuple[float, tuple[int, ...]]] = [(0.0, (0,) * len(near))]
+    score = sum(scores)
+    agenda: list[tuple[int, tuple[int, ...]]] = [(0, (0,) * len(near))]
     seen, out = {agenda[0][1]}, []
     while agenda and len(out) < paths.n:
         loss, pick = heapq.heappop(agenda)
@@ -171,7 +181,7 @@ def encode_nbest(text: str, paths: WordPaths) -> list[tuple[float, bytes]]:
             step = (*pick[:i], pick[i] + 1, *pick[i + 1:])
             if step[i] < len(choices) and step not in seen:
                 seen.add(step)
-                heapq.heappush(agenda, (math.fsum(o[k][0] for o, k in zip(options, step, strict=True)), step))
+                heapq.heappush(agenda, (sum(o[k][0] for o, k in zip(options, step, strict=True)), step))
     return out
 
 
@@ -197,7 +207,7 @@ def segment(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
             for at in range(part.num_rows):
                 text = part.column("text")[at].as_py() or ""
                 for nth, (score, ids) in enumerate(encode_nbest(text, paths), 1):
-                    rows.append((at, nth, score, len(ids) // 4, ids, zlib.crc32(ids), decode(ids, paths.pieces) == text))
+                    rows.append((at, nth, score / UNIT, len(ids) // 4, ids, zlib.crc32(ids), decode(ids, paths.pieces) == text))
                     held += len(ids)
                 if held >= 1 << 24:
                     yield _batch(part.column("doc_id"), rows)
