@@ -76,8 +76,8 @@ def packed_scores(
 ) -> DataFrame:
     """``spots`` plus ``s``, an array of (pathway, score) in name order with all sets of the catalogue.
 
-    Counts are shuffled twice, by (sample, gene) to meet their weights and by spot to be summed; the
-    complete result has one row per spot. Sets that are not scored hold 0.
+    The sets of a gene are attached to its moments first, so counts are shuffled twice: by (sample, gene) to meet
+    both at once, and by spot to be summed. The complete result has one row per spot. Sets that are not scored hold 0.
     """
     n_spots = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_spots"))
     weights = set_weights(gene_sets)
@@ -88,22 +88,30 @@ def packed_scores(
     sets = sizes.join(shift, ["sample_id", "pathway"], "left").groupBy("sample_id").agg(
         F.array_sort(F.collect_list(F.struct(
             "pathway", "scored", F.coalesce("shift", F.lit(0.0)).alias("shift"), "total_weight"))).alias("sets"))
+    sets_of_gene = weights.groupBy("gene").agg(F.collect_list(F.struct("pathway", "weight")).alias("of"))
+    scaled = moments.join(sets_of_gene, "gene").select("sample_id", "gene", "sigma", "of")
     part = (
-        x.join(moments.select("sample_id", "gene", "sigma"), ["sample_id", "gene"])
-        .select(*SPOT, "gene", (F.col("x") / F.col("sigma")).alias("xs"))
-        .join(weights, "gene")
-        .select(*SPOT, "pathway", (F.col("xs") * F.col("weight")).alias("xw"))
+        x.join(scaled, ["sample_id", "gene"])
+        .select(*SPOT, (F.col("x") / F.col("sigma")).alias("xs"), F.inline("of"))
         .repartition(*SPOT)  # serves both groupings below
-        .groupBy(*SPOT, "pathway").agg(F.sum("xw").alias("part"))
-        .groupBy(*SPOT).agg(F.map_from_entries(F.collect_list(F.struct("pathway", "part"))).alias("parts")))
+        .groupBy(*SPOT, "pathway").agg(F.sum(F.col("xs") * F.col("weight")).alias("part"))
+        .groupBy(*SPOT).agg(F.collect_list(F.struct("pathway", F.lit(False).alias("zero"), "part")).alias("parts")))
 
-    def score(e):
-        got = F.coalesce(F.try_element_at("parts", e.pathway), F.lit(0.0))
+    def every_set(merged):
+        # a sum stands before the zero of its set; the first entry of each set counts
+        first = F.filter(merged, lambda e, i: (i == 0) | (F.get(merged, i - 1)["pathway"] != e.pathway))
+        return F.transform(first, lambda e: e.part)
+
+    zeros = F.transform("sets", lambda e: F.struct(e.pathway.alias("pathway"), F.lit(True).alias("zero"), F.lit(0.0).alias("part")))
+    merged = F.sort_array(F.concat(F.coalesce("parts", F.array().cast("array<struct<pathway:string,zero:boolean,part:double>>")), zeros))
+    sums = F.transform(F.array(merged), every_set)[0]  # sorted once for all sets
+
+    def score(e, got):
         return F.struct(e.pathway.alias("pathway"), F.when(
             e.scored, (got - e.shift) / e.total_weight).otherwise(0.0).alias("score"))
 
     return spots.join(part, SPOT, "left").join(sets, "sample_id").select(
-        *spots.columns, F.transform("sets", score).alias("s"))
+        *spots.columns, F.zip_with("sets", sums, score).alias("s"))
 
 
 def unpacked(packed: DataFrame) -> DataFrame:

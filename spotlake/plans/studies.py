@@ -11,7 +11,7 @@ from spotlake.session import materialise
 
 def qc_audit(obs: DataFrame, expr: DataFrame, min_umis=500, min_genes=200, max_mt=0.15, worst: int = 15):
     """(report per sample, summary, worst samples)."""
-    report = qc.qc_report(obs, expr, min_umis, min_genes, max_mt)
+    report = materialise(qc.qc_report(obs, expr, min_umis, min_genes, max_mt))  # one row per sample, read three times
     return report, qc.qc_summary(report), qc.worst_samples(report, worst)
 
 
@@ -24,20 +24,29 @@ def compare_runs(log: DataFrame, names: list[str], window: int = 5, selected: li
 
 
 def gene_availability(samples: DataFrame, var: DataFrame, expr: DataFrame, technology: str, n: int = 1000) -> DataFrame:
-    """How many genes all (or any) samples share, by panel and by top-n, for all and one technology."""
-    top = ranking.top_genes_per_sample(expr, n)
-    chosen = registry.by_technology(samples, technology)
-    parts = []
-    for scope, keep in (("all", samples), (technology, chosen)):
-        for basis, lists in (("panel", var), ("top", top)):
-            part = lists.join(keep.select("sample_id"), "sample_id", "left_semi")
-            for rule, names in (("in_all", genesets.in_all(part)), ("in_any", genesets.in_any(part))):
-                parts.append(names.agg(F.count(F.lit(1)).alias("n_genes")).select(
-                    F.lit(scope).alias("scope"), F.lit(basis).alias("basis"), F.lit(rule).alias("rule"), "n_genes"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """How many genes all (or any) samples share, by panel and by top-n, for all and one technology.
+
+    Panels and top lists pass one grouping by gene that counts for both scopes at once.
+    """
+    inside = registry.by_technology(samples, technology).select("sample_id", F.lit(True).alias("inside"))
+    keep = samples.select("sample_id").join(inside, "sample_id", "left").withColumn("inside", F.col("inside").isNotNull())
+    top = ranking.top_genes_per_sample(expr, n).select("sample_id", "gene", F.lit("top").alias("basis"))
+    lists = var.select("sample_id", "gene").distinct().withColumn("basis", F.lit("panel")).unionByName(top)
+    # an owner is a sample that has a list at all
+    owners = lists.select("basis", "sample_id").distinct().join(keep, "sample_id").agg(F.struct(*[
+        F.count_if((F.col("basis") == basis) & (F.col("inside") | F.lit(scope == "all"))).alias(f"{basis}_{scope}")
+        for basis in ("panel", "top") for scope in ("all", "inside")])).scalar()
+
+    def total(scope: str):
+        return F.when(F.col("basis") == "panel", owners.getField(f"panel_{scope}")).otherwise(owners.getField(f"top_{scope}"))
+
+    genes = lists.join(keep, "sample_id").groupBy("basis", "gene").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("inside").alias("n_inside"))
+    counts = genes.groupBy("basis").agg(F.array(*[
+        F.struct(F.lit(scope).alias("scope"), F.lit(rule).alias("rule"), F.count_if(holds).alias("n_genes"))
+        for scope, seen, every in (("all", F.col("n"), total("all")), (technology, F.col("n_inside"), total("inside")))
+        for rule, holds in (("in_all", (seen == every) & (seen > 0)), ("in_any", seen > 0))]).alias("c"))
+    return counts.select("basis", F.inline("c")).select("scope", "basis", "rule", "n_genes")
 
 
 def sample_card(
