@@ -6,18 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dihedral(x: Column, y: Column, op: Column) -> tuple[Column, Column]:
-    """The eight square symmetries. Odd members of 0..3 and members 6, 7 exchange the axes."""
-    swapped = op.isin(1, 3, 6, 7)
-    first = F.when(swapped, y).otherwise(x)
-    second = F.when(swapped, x).otherwise(y)
-    flip_x = op.isin(2, 3, 4, 7)
-    flip_y = op.isin(1, 2, 5, 7)
-    return F.when(flip_x, -first).otherwise(first), F.when(flip_y, -second).otherwise(second)
+# Where each of the eight square symmetries, by number, takes the point (x, y).
+SYMMETRIES = (("x", "y"), ("y", "-x"), ("-x", "-y"), ("-y", "x"), ("-x", "y"), ("x", "-y"), ("y", "x"), ("-y", "-x"))
 
 
-def squared_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    return (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
+def dihedral(x: Column, y: Column, op: Column) -> tuple[Column, Column]:
+    """The point moved by the symmetry ``op``; null for a number outside the table."""
+    place = {"x": x, "y": y, "-x": -x, "-y": -y}
+    table = F.array(*[F.struct(place[first].alias("x"), place[second].alias("y")) for first, second in SYMMETRIES])
+    moved = F.get(table, op.cast("int"))
+    return moved["x"], moved["y"]
 
 
 def in_canvas(lo: Column, hi: Column, size: Column, tolerance: float = 224.0) -> Column:

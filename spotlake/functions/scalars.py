@@ -60,9 +60,6 @@ def utf8(c: Column) -> Column:
     return F.decode(c, "UTF-8")
 
 
-def membership_value(is_member: Column, scale: float = 1.0) -> Column:
-    return F.when(is_member, F.lit(float(scale))).otherwise(F.lit(0.0))
-
 
 def seeded_hash(seed: int, *keys: Column) -> Column:
     """A 32-bit number from md5 of ``seed:key:...``; the same on every engine and partitioning."""

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spotlake.functions.coords import SYMMETRIES
+
 # Channel means and deviations commonly used for image backbones.
 CHANNEL_MEAN = (0.485, 0.456, 0.406)
 CHANNEL_STD = (0.229, 0.224, 0.225)
@@ -25,21 +27,18 @@ def decode_patches(images: pd.Series, h: int, w: int, c: int) -> np.ndarray:
 
 
 def preprocess(img: np.ndarray, op: int = 0, mean=CHANNEL_MEAN, std=CHANNEL_STD) -> np.ndarray:
-    """(..., H, W, C) bytes to normalised (..., C, H, W) floats, moved by one of the eight symmetries.
-
-    Rotations come first (ops 0..3 are quarter turns), mirrored ops are a flip of one axis or a transpose;
-    the table agrees with ``functions.coords.dihedral`` on point positions.
-    """
+    """(..., H, W, C) bytes to normalised (..., C, H, W) floats, moved by one of the eight symmetries."""
     chw = np.moveaxis(img.astype(np.float64), -1, -3) / 255.0
     chw = (chw - np.asarray(mean)[:, None, None]) / np.asarray(std)[:, None, None]
     return np.ascontiguousarray(turn(chw, op))
 
 
 def turn(chw: np.ndarray, op: int) -> np.ndarray:
-    if op < 4:
-        return np.rot90(chw, k=op, axes=(-2, -1))
-    mirrored = {4: chw[..., ::-1], 5: chw[..., ::-1, :], 6: chw.swapaxes(-2, -1)}
-    return mirrored[op] if op in mirrored else chw.swapaxes(-2, -1)[..., ::-1, ::-1]
+    """Pixels moved as ``SYMMETRIES`` moves their positions; x runs along the last axis, y along the one before."""
+    to_x, to_y = SYMMETRIES[op]
+    out = chw.swapaxes(-2, -1) if "y" in to_x else chw
+    out = out[..., ::-1] if "-" in to_x else out
+    return out[..., ::-1, :] if "-" in to_y else out
 
 
 def extract_features(
