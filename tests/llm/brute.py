@@ -52,6 +52,19 @@ def near(rows, k=3):
     return [(d, f"{p:016x}", least.get(r)) for (d, _), p, r in zip(rows, prints, roots, strict=True)]
 
 
+def near_copies(rows, k=5, share=0.8):
+    """The smallest doc_id of the group of each (doc_id, text) row; groups are closed over pairs with common shingles."""
+    sets = []
+    for _, t in rows:
+        words = WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(words[i:i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set()))
+    roots = components(sets, lambda a, b: a == b or len(a & b) >= share * len(a | b))
+    least = {}
+    for (d, _), r in zip(rows, roots, strict=True):
+        least[r] = d if least.get(r) is None else least[r] if d is None else min(least[r], d)
+    return [least[r] for r in roots]
+
+
 def quality(text):
     text = text or ""
     words = WORD.findall(text)

@@ -3,7 +3,7 @@ import zlib
 import corpus_pipeline
 from spotlake.llm import packing, quality_rules
 from spotlake.llm.queries import TOKENIZER
-from tests.llm.brute import near, quality, secrets, sha
+from tests.llm.brute import near_copies, quality, secrets, sha
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -23,8 +23,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     for d, t in kept:
         best[t] = max(best.get(t, d), d)
     kept = [(d, t) for t, d in best.items()]
-    groups = near(kept, 5)
-    kept = [(d, t) for (d, t), (_, _, c) in zip(kept, groups, strict=True) if d == c]
+    kept = [(d, t) for (d, t), least in zip(kept, near_copies(kept), strict=True) if d == least]
     masked = []
     for d, t in kept:
         for s, _, _, e in reversed(secrets(t)):
