@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotlake.llm.tables import fresh, stored
+from spotlake.llm.tables import checked_broadcast, fresh, stored
 
 # Kind, role in a credential, pattern, group that must be long, its least length.
 _VALUE = "[A-Za-z0-9+/_.=-]+"
@@ -95,7 +95,7 @@ def redact_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     found = stored(scan_secrets(docs, scope).where(F.size("spans") > 0).select("text_sha256", "spans"), "found")
     by_text = stored(found.groupBy("text_sha256").agg(F.first("spans").alias("spans")), "by_text")
     digest, spans, key = (fresh(docs, n) for n in ("text_sha256", "spans", "secret_key"))
-    right = by_text.select(F.col("text_sha256").alias(key), F.col("spans").alias(spans))
+    right = checked_broadcast(by_text).select(F.col("text_sha256").alias(key), F.col("spans").alias(spans))
     joined = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
     joined = joined.join(right, joined[digest] == right[key], "left")
     # Each span with the furthest end before it: what lies between that end and the span's start stays.

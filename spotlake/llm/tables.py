@@ -27,6 +27,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``table``, a stored one with short rows, to be broadcast if it has at most ``rows`` rows; else it is shuffled."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
