@@ -14,7 +14,7 @@ import math
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from spotlake.llm.memo import Remembered
 
 SPACE = "▁"
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 UNIT = 1_000_000  # scores are integers in millionths, so that sums are exact and ties are ties
 BYTE_COST = 30 * UNIT  # score of a byte that stands for a letter outside the vocabulary, negated
 
@@ -51,6 +50,8 @@ class Pieces:
                 raise ValueError("a piece reaches over the start of a word")
             self.ids[piece], self.scores[piece] = i, -round(UNIT * math.log(rank + 2))
             self.text[i] = piece.replace(SPACE, " ").encode()
+        self.chunk = _chunk_pattern(self.ids)
+        self.known = {p for p in self.ids if len(p) == 1}
         self.matcher = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             self.matcher.add_word(piece, (len(piece), self.scores[piece], (i,)))
@@ -59,7 +60,7 @@ class Pieces:
     def edges(self, word: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
         """Edges (start, end, score, ids) of the lattice, by end; a letter outside the vocabulary is an edge of bytes."""
         edges = [(last + 1 - size, last + 1, score, ids) for last, (size, score, ids) in self.matcher.iter(word)]
-        missing = [at for at, letter in enumerate(word) if letter not in self.scores]
+        missing = () if self.known.issuperset(word) else [at for at, letter in enumerate(word) if letter not in self.scores]
         for at in missing:
             raw = word[at].replace(SPACE, " ").encode()
             edges.append((at, at + 1, -BYTE_COST * len(raw), tuple(self.bytes[b] for b in raw)))
@@ -73,24 +74,25 @@ class Pieces:
         The next path leaves the best one by some edge, so the loss is the least over all other edges of what the
         best path through such an edge loses; that takes the scores from both ends.
         """
+        size = len(word)
         edges = self.edges(word)
-        best, came = _forward(edges, len(word))
-        parts, at, used = [], len(word), set()
+        best, came = _forward(edges, size)
+        parts, at, taken = [], size, [-1] * (size + 1)
         while at:
-            edge = came[at]
-            used.add(edge[:2])
-            parts.append(edge[3])
-            at = edge[0]
-        path = [i for ids in reversed(parts) for i in ids]
-        rest = [-math.inf] * len(word) + [0]
-        loss = math.inf
+            start, _, _, ids = came[at]
+            taken[at] = start
+            parts.append(ids)
+            at = start
+        path = parts[0] if len(parts) == 1 else [i for ids in reversed(parts) for i in ids]
+        rest = [-math.inf] * size + [0]
+        through = -math.inf  # the best score over an edge that the best path does not take
         for start, end, score, _ in reversed(edges):
             onward = score + rest[end]
             if onward > rest[start]:
                 rest[start] = onward
-            if (start, end) not in used:
-                loss = min(loss, best[-1] - best[start] - onward)
-        return struct.pack(f"<{len(path)}I", *path), best[-1], loss
+            if taken[end] != start and best[start] + onward > through:
+                through = best[start] + onward
+        return struct.pack(f"<{len(path)}I", *path), best[size], best[size] - through
 
     def nbest(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best paths of a lattice as (score, ids), best first (backward A*).
@@ -119,13 +121,29 @@ class Pieces:
         return found
 
 
+def _chunk_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Parts of a text that no piece reaches beyond: words with the spaces before them, cut further where that is safe.
+
+    Letters of no longer piece stand alone. A mark that follows a letter in no piece begins a new part after a letter.
+    """
+    longer = [p for p in pieces if len(p) > 1]
+    inside = {c for p in longer for c in p} - {SPACE}
+    letters = {c for c in inside if c.isalpha()}
+    after_letter = {b for p in longer for a, b in zip(p, p[1:], strict=False) if a in letters}
+    marks = inside - letters - after_letter
+    group = {name: "".join(map(re.escape, sorted(chars))) for name, chars in (("letters", letters), ("marks", marks), ("inside", inside))}
+    cut = f"{SPACE}*[{group['letters']}]+(?=[{group['marks']}])|" if letters and marks else ""
+    word = f"{SPACE}*[{group['inside']}]+|" if inside else ""
+    return re.compile(f"{cut}{word}{SPACE}+|.", re.DOTALL)
+
+
 def _forward(edges: list[tuple[int, int, int, tuple[int, ...]]], size: int) -> tuple[list, list]:
     """Viterbi: the best score of each prefix, and the last edge of a path that has it."""
     best, came = [0] + [-math.inf] * size, [None] * (size + 1)
     for edge in edges:
-        start, end, score, _ = edge
-        if best[start] + score > best[end]:
-            best[end], came[end] = best[start] + score, edge
+        total = best[edge[0]] + edge[2]
+        if total > best[edge[1]]:
+            best[edge[1]], came[edge[1]] = total, edge
     return best, came
 
 
@@ -150,9 +168,9 @@ def word_paths(path: str, n: int) -> WordPaths:
     return WordPaths(Pieces(path), n)
 
 
-def chunks(text: str) -> list[str]:
-    """Words with the spaces before them; a space is put before the text, and spaces are written as ``▁``."""
-    return _CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def chunks(text: str, pieces: Pieces) -> list[str]:
+    """The parts of a text that are cut into pieces alone; a space is put before the text, spaces are written as ``▁``."""
+    return pieces.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def encode_nbest(text: str, paths: WordPaths) -> list[tuple[int, bytes]]:
@@ -161,7 +179,7 @@ def encode_nbest(text: str, paths: WordPaths) -> list[tuple[int, bytes]]:
     Any of them leaves the best path in fewer than n words, and these can be taken among the words whose next path
     loses least (at equal losses, the earlier ones); the paths of only these words are searched.
     """
-    words = chunks(text)
+    words = chunks(text, paths.pieces)
     if not words:
         return [(0, b"")]
     best, scores, losses = zip(*map(paths.__getitem__, words), strict=True)
