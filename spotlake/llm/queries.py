@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, bare=True)
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

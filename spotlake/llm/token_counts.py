@@ -22,9 +22,13 @@ NONE = -1
 
 
 class LongestMatch:
-    """Counts greedy pieces of a word; ``first`` are entries for the start of a word, ``inner`` for all other places."""
+    """Counts greedy pieces of a word; ``first`` are entries for the start of a word, ``inner`` for all other places.
 
-    def __init__(self, first: set[bytes], inner: set[bytes]):
+    With ``bare``, a word that begins with no entry of ``first`` takes an empty piece, the space before it, and goes
+    on with ``inner`` from its first byte.
+    """
+
+    def __init__(self, first: set[bytes], inner: set[bytes], bare: bool = False):
         self.step: list[dict[int, int]] = [{}, {}]  # state 0: start of a word, state 1: after a piece
         ends = [False, False]
         parent: list[tuple[int, int]] = [(NONE, 0), (NONE, 0)]
@@ -44,6 +48,8 @@ class LongestMatch:
                     ends[at] = True
         size = len(self.step)
         self.link, self.popped = [NONE] * size, [0] * size
+        if bare:
+            self.link[0], self.popped[0] = 1, 1
         queue = deque([*self.step[0].values(), *self.step[1].values()])
         while queue:  # by depth: the link of a state needs those of its parent and of shallower states
             at = queue.popleft()
@@ -98,21 +104,29 @@ def read_vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
     return first, inner
 
 
+def has_bare_space(path: str) -> bool:
+    """Whether the space alone is an entry of the file."""
+    with open(path, "rb") as lines:
+        return any(base64.b64decode(line.split()[0]) == b" " for line in lines)
+
+
 @lru_cache(maxsize=2)
-def word_counts(path: str) -> WordCounts:
-    return WordCounts(LongestMatch(*read_vocabulary(path)))
+def word_counts(path: str, bare: bool = False) -> WordCounts:
+    return WordCounts(LongestMatch(*read_vocabulary(path), bare=bare and has_bare_space(path)))
 
 
-def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, bare: bool = False) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) for every row; a word is a run without U+0020 and U+0009 to U+000D.
 
     A word that cannot be cut into entries counts as one token and one unknown word. A null or empty text has no
-    words. Repeated rows are counted each; other columns are ignored. ``vocabulary`` is a path on every machine.
+    words. Repeated rows are counted each; other columns are ignored. ``vocabulary`` is a path on every machine. With
+    ``bare``, the entry that is the space alone may begin a word: every word is cut as its space and itself would be, so
+    a vocabulary with all single bytes leaves no word unknown.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = word_counts(vocabulary)
+        counts = word_counts(vocabulary, bare)
         for part in parts:
             columns: tuple[list[int], ...] = ([], [], [])
             for text in part.column("text"):
