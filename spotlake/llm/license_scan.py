@@ -2,11 +2,13 @@
 
 A text is brought to a canonical form (lower case, no copyright lines, one spelling, no punctuation) and its digest
 is looked up among the digests of known licences, by a hash join. The unit is the entire text, and also every
-line that mentions a licence, since documents often end with a one-line notice.
+line that mentions a licence or is a known notice, since documents often end with a one-line notice.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ SPELLINGS = (
     ("judgement", "judgment"), ("version 2 0", "version 2"), ("version 3 0", "version 3"),
 )
 COPYRIGHT_LINE = r"(?md)^[^a-z0-9\n]*(?:copyright[^\n]*(?:\(c\)|©|[0-9]{4})|\(c\) *[0-9]{4}|© *[0-9]{4})[^\n]*$"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’–—]"
 MENTION = "licen[cs]e|copyright|public domain|all rights reserved"
 
 _WARRANTY = (
@@ -62,34 +65,46 @@ KNOWN = (
 def canonical(low: Column) -> Column:
     """Canonical form of a lower-case text: copyright lines, punctuation and white space go, spellings are made equal.
 
-    Spellings matter only where a licence is mentioned, which every known text does.
+    Spellings matter only where a licence is mentioned.
     """
     marked = low.contains("copyright") | low.contains("(c)") | low.contains("©")
     body = F.when(marked, F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low)
-    plain = F.trim(F.regexp_replace(body, r"[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’–—]+", " "))
+    plain = F.trim(F.regexp_replace(body, f"{GAP}+", " "))
     spelled = F.concat(F.lit(" "), plain, F.lit(" "))
     for old, new in SPELLINGS:
         spelled = F.replace(spelled, F.lit(f" {old} "), F.lit(f" {new} "))
     return F.when(plain.rlike(MENTION), F.trim(spelled)).otherwise(plain)
 
 
+def _canonical_known(spark: SparkSession, known: tuple) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in known])
+    return spark.range(1).select(F.inline(rows)).select("license_id", canonical(ascii_lower(F.col("text"))).alias("form"))
+
+
+def silent_notices(spark: SparkSession, known: tuple = KNOWN) -> str:
+    """A pattern of the known texts that mention no licence, in any punctuation; empty without any."""
+    forms = sorted({r.form for r in _canonical_known(spark, known).collect() if r.form and not re.search(MENTION, r.form)})
+    return "|".join(f"{GAP}+".join(re.escape(word) for word in form.split(" ")) for form in forms)
+
+
 def digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
     """(license_id, digest) of the known texts; a table as long as ``known``, hence broadcast."""
-    rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in known])
-    return spark.range(1).select(F.inline(rows)).select(F.sha2(canonical(ascii_lower(F.col("text"))), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return _canonical_known(spark, known).select(F.sha2("form", 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: tuple = KNOWN) -> DataFrame:
-    """(doc_id, unit, line_no, digest, license_id): the entire text of every row, and its lines that mention a licence.
+    """(doc_id, unit, line_no, digest, license_id): the entire text of every row, and its lines that mention a licence or are a known notice.
 
     unit is ``text`` (line_no 0) or ``line`` (line_no from 1); license_id is null if the digest is unknown. Null
     texts count as empty; an empty text has one unit ``text`` without a licence. Repeated rows give repeated units.
     """
     units = docs.select("doc_id", F.explode(F.array(ascii_lower(F.coalesce("text", F.lit(""))))).alias("low"))
-    low = F.col("low")
+    low, silent = F.col("low"), silent_notices(docs.sparkSession, known)
+    # A known text without a word of MENTION is looked for by itself, and only counts as an entire line.
+    hint, whole_line = (f"{MENTION}|{silent}", f"{MENTION}|^{GAP}*(?:{silent}){GAP}*$") if silent else (MENTION, MENTION)
     whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).cast("long").alias("line_no"), F.sha2(canonical(low), 256).alias("digest")))
     numbered = F.transform(F.split(low, "\n", -1), lambda line, i: F.struct((i + 1).cast("long").alias("line_no"), line.alias("line")))
-    telling = F.filter(numbered, lambda x: x["line"].rlike(MENTION))
+    telling = F.filter(numbered, lambda x: x["line"].rlike(whole_line))
     lines = F.transform(telling, lambda x: F.struct(F.lit("line").alias("unit"), x["line_no"].alias("line_no"), F.sha2(canonical(x["line"]), 256).alias("digest")))
-    units = units.select("doc_id", F.inline(F.when(low.rlike(MENTION), F.concat(whole, lines)).otherwise(whole)))
+    units = units.select("doc_id", F.inline(F.when(low.rlike(hint), F.concat(whole, lines)).otherwise(whole)))
     return units.join(F.broadcast(digests(docs.sparkSession, known)), "digest", "left").select("doc_id", "unit", "line_no", "digest", "license_id")

@@ -40,5 +40,13 @@ def test_every_known_text_mentions_a_license(spark):
     assert {r.doc_id: r.license_id for r in out} == {i: k for i, (k, _) in enumerate(license_scan.KNOWN)}
 
 
+def test_every_known_notice_is_found_as_a_line(spark):
+    known = [(k, t) for k, t in license_scan.KNOWN if "\n" not in t] + [("MIT", "SPDX: MIT"), ("CC-BY-4.0", "Released under CC-BY 4.0")]
+    rows = [(i, f"prose\n\n -- {t.upper()}\r\nand prose") for i, (_, t) in enumerate(known)] + [(99, "It is released under CC0 1.0 now.")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    out = license_scan.scan_licenses(docs, tuple(known)).where("unit = 'line'").collect()
+    assert sorted((r.doc_id, r.line_no, r.license_id) for r in out) == [(i, 3, k) for i, (k, _) in enumerate(known)]
+
+
 def test_empty_table(empty):
     assert license_scan.scan_licenses(empty).collect() == []
