@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import exact_dedup, license_scan, packing, quality_rules, secret_scan, sentencepiece_nbest, sharding, simhash, token_counts, url_filter
-from spotlake.llm.queries_sql import LICENSES_SQL, EXACT_SQL, URLS_SQL
+from spotlake.llm import exact_dedup, license_scan, merkle, packing, quality_rules, secret_scan, sentencepiece_nbest, sharding, simhash, token_counts, url_filter
+from spotlake.llm.queries_sql import EXACT_SQL, LICENSES_SQL, MERKLE_SQL, URLS_SQL
+from spotlake.llm.tables import ascii_lower
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,9 +81,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    presented = merkle.leaf_digest(*[F.when(tampered, ascii_lower(F.col(f))).otherwise(F.col(f)) if f == "text" else F.col(f) for f in fields])
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"), fields, also={"presented": presented})
+    shown = proofs.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("path", ""), 256).alias("proof_sha256"),
+        merkle.folded(F.col("presented"), F.col("path")).alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_counts, op2_url_filters, op3_sentencepiece, op4_sharding, op5_simhash, op6_exact_dedup, op7_license_scan,
-              op8_secret_scan, op9_quality_rules, op10_packing)
+              op8_secret_scan, op9_quality_rules, op10_packing, op11_merkle_manifest)
 }
-ORACLES: dict[str, str] = {"op2_url_filters": URLS_SQL, "op6_exact_dedup": EXACT_SQL, "op7_license_scan": LICENSES_SQL}
+ORACLES: dict[str, str] = {"op2_url_filters": URLS_SQL, "op6_exact_dedup": EXACT_SQL, "op7_license_scan": LICENSES_SQL, "op11_merkle_manifest": MERKLE_SQL}
