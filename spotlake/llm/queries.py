@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import exact_dedup, license_scan, merkle, packing, quality_rules, secret_scan, sentencepiece_nbest, sharding, simhash, token_counts, url_filter
+from spotlake.llm import exact_dedup, license_scan, merkle, minhash, packing, quality_rules, secret_scan, sentencepiece_nbest, sharding, simhash, token_counts, url_filter
 from spotlake.llm.queries_sql import EXACT_SQL, LICENSES_SQL, MERKLE_SQL, URLS_SQL
 from spotlake.llm.tables import ascii_lower
 
@@ -92,9 +92,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_counts, op2_url_filters, op3_sentencepiece, op4_sharding, op5_simhash, op6_exact_dedup, op7_license_scan,
-              op8_secret_scan, op9_quality_rules, op10_packing, op11_merkle_manifest)
+              op8_secret_scan, op9_quality_rules, op10_packing, op11_merkle_manifest, op12_minhash)
 }
 ORACLES: dict[str, str] = {"op2_url_filters": URLS_SQL, "op6_exact_dedup": EXACT_SQL, "op7_license_scan": LICENSES_SQL, "op11_merkle_manifest": MERKLE_SQL}

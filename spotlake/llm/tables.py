@@ -24,7 +24,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut, and the size is known to the planner."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.__dict__["stored_at"] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables from ``stored`` that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        path = table.__dict__.pop("stored_at", None)
+        if path:
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checked_broadcast(table: DataFrame, rows: int = 100_000) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from spotlake.llm import simhash
-from spotlake.llm.components import connected_components
+from spotlake.llm.components import _components, connected_components
 from tests.llm.brute import components, fingerprint, near
 
 
@@ -46,6 +46,14 @@ def test_components_of_paths_and_stars(spark):
     assert {out[i] for i in range(61)} == {0} and {out[100 + i] for i in range(30)} == {100} and out[70] == -4
 
 
+@pytest.mark.parametrize("numbers", [range(4096), [x for i in range(2048) for x in (i, 4095 - i)]])
+def test_paths_take_few_rounds(spark, numbers):
+    """A path in rising order and one that goes to and fro."""
+    numbers = list(numbers)
+    found, rounds = _components(spark.createDataFrame(list(zip(numbers, numbers[1:], strict=False)), "a BIGINT, b BIGINT").coalesce(4))
+    assert [tuple(r) for r in found.groupBy("root").count().collect()] == [(0, 4096)] and rounds <= 14
+
+
 def test_drop_near_duplicates(tricky, tricky_rows):
     out = simhash.drop_near_duplicates(tricky)
     assert out.columns == tricky.columns
