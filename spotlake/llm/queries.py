@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import exact_dedup, license_scan, merkle, minhash, packing, quality_rules, secret_scan, sentencepiece_nbest, sharding, simhash, token_counts, url_filter
+from spotlake.llm import alignment, exact_dedup, license_scan, merkle, minhash, packing, quality_rules, secret_scan, sentencepiece_nbest, sharding, simhash, token_counts, url_filter
 from spotlake.llm.queries_sql import EXACT_SQL, LICENSES_SQL, MERKLE_SQL, URLS_SQL
-from spotlake.llm.tables import ascii_lower
+from spotlake.llm.tables import ascii_lower, stored
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -96,9 +97,14 @@ def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = stored(alignment.align_documents(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECES, groups=False), "aligned")
+    return alignment.score_documents(aligned).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_counts, op2_url_filters, op3_sentencepiece, op4_sharding, op5_simhash, op6_exact_dedup, op7_license_scan,
-              op8_secret_scan, op9_quality_rules, op10_packing, op11_merkle_manifest, op12_minhash)
+              op8_secret_scan, op9_quality_rules, op10_packing, op11_merkle_manifest, op12_minhash, op13_alignment)
 }
 ORACLES: dict[str, str] = {"op2_url_filters": URLS_SQL, "op6_exact_dedup": EXACT_SQL, "op7_license_scan": LICENSES_SQL, "op11_merkle_manifest": MERKLE_SQL}
