@@ -133,48 +133,47 @@ class Tokenizers:
         return [(x.ids, y) for x, y in zip(a, self.b.encode(words, num_threads=1), strict=True)]
 
 
-@dataclass(frozen=True, slots=True)
-class Word:
-    """What a document adds up of each of its words; ``same`` is false if the bytes of A or B are not those of the word."""
-
-    groups: str
-    n_a: int
-    n_b: int
-    n_groups: int
-    links: bytes
-    same: bool
+Word = tuple[str, int, bytes | None]  # group text; tokens of A << 32 | tokens of B; linked id pairs, None if the bytes differ
+DIFFERENT: Word = ("", 0, None)
 
 
 def _words(found: list[tuple[list[int], list[int]]], texts: list[str], tokens: Tokenizers, kind: str) -> list[Word]:
-    """Align many words at once, as the blocks of one matrix."""
-    out: list[Word | None] = []
-    for text, (a, b) in zip(texts, found, strict=True):
-        whole = b" " + text.encode()
-        same = b"".join([tokens.a_bytes[i] for i in a]) == whole == b"".join([tokens.b_bytes[i] for i in b])
-        out.append(None if same else Word("", 0, 0, 0, b"", False))
-    at = [n for n, word in enumerate(out) if word is None]
-    a_ids, b_ids = [np.array([i for n in at for i in found[n][side]], dtype=np.int64) for side in (0, 1)]
-    a_lengths, b_lengths = (np.array([len(names[i]) for i in ids.tolist()], dtype=np.int64) for names, ids in ((tokens.a_bytes, a_ids), (tokens.b_bytes, b_ids)))
+    """Align many words at once, as the blocks of one matrix. Words whose bytes A or B do not keep are DIFFERENT."""
+    sizes = np.array([1 + len(t.encode()) for t in texts], dtype=np.int64)
+    sides = []
+    for side, names in ((0, tokens.a_bytes), (1, tokens.b_bytes)):
+        ids = [i for x in found for i in x[side]]
+        raw = [names[i] for i in ids]
+        ends = np.cumsum([len(x[side]) for x in found], dtype=np.int64)
+        sides.append((ids, raw, np.array(list(map(len, raw)), dtype=np.int64), ends))
+    whole = (" " + " ".join(texts)).encode()
+    byte_ends = [np.concatenate(([0], np.cumsum(lengths)))[ends] for _, _, lengths, ends in sides]
+    if not all(b"".join(raw) == whole for _, raw, _, _ in sides) or any((ends != np.cumsum(sizes)).any() for ends in byte_ends):
+        good = [b"".join([tokens.a_bytes[i] for i in a]) == b" " + t.encode() == b"".join([tokens.b_bytes[i] for i in b])
+                for t, (a, b) in zip(texts, found, strict=True)]
+        kept = iter(_words([f for f, ok in zip(found, good, strict=True) if ok], [t for t, ok in zip(texts, good, strict=True) if ok], tokens, kind) if any(good) else [])
+        return [next(kept) if ok else DIFFERENT for ok in good]
+    (a_ids, _, a_lengths, a_ends), (b_ids, _, b_lengths, b_ends) = sides
     aligned = align(a_lengths, b_lengths, kind)
-    links = np.column_stack((a_ids[aligned.left], b_ids[aligned.right])).astype("<u4")
-    a_ends, b_ends = (np.cumsum([len(found[n][side]) for n in at], dtype=np.int64) for side in (0, 1))
-    link_ends = np.searchsorted(aligned.left, a_ends) if len(at) else []
-    a_from = b_from = link_from = 0
-    for n, a_to, b_to, link_to in zip(at, a_ends, b_ends, link_ends, strict=True):
-        groups = _group_text(a_ids[a_from:a_to], aligned.a_group[a_from:a_to], b_ids[b_from:b_to], aligned.b_group[b_from:b_to])
-        out[n] = Word(";".join(groups), int(a_to - a_from), int(b_to - b_from), len(groups), links[link_from:link_to].tobytes(), True)
-        a_from, b_from, link_from = a_to, b_to, link_to
+    links = np.column_stack((np.array(a_ids)[aligned.left], np.array(b_ids)[aligned.right])).astype("<u4").tobytes()
+    link_ends = np.searchsorted(aligned.left, a_ends) * 8
+    groups = _group_texts(a_ids, b_ids, aligned)
+    group_ends = aligned.a_group[a_ends - 1] + 1
+    out: list[Word] = []
+    first = [0, 0, 0, 0]
+    for last in zip(a_ends.tolist(), b_ends.tolist(), group_ends.tolist(), link_ends.tolist(), strict=True):
+        out.append((";".join(groups[first[2]:last[2]]), (last[0] - first[0]) << 32 | (last[1] - first[1]), links[first[3]:last[3]]))
+        first = last
     return out
 
 
-def _group_text(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray) -> list[str]:
+def _group_texts(a_ids: list[int], b_ids: list[int], aligned: Aligned) -> list[str]:
+    """``a1,a2|b1`` of each group."""
     sides = []
-    for ids, groups in ((a.tolist(), a_group.tolist()), (b.tolist(), b_group.tolist())):
-        parts: dict[int, list[str]] = {}
-        for i, g in zip(ids, groups, strict=True):
-            parts.setdefault(g, []).append(str(i))
-        sides.append(parts)
-    return [f"{','.join(x)}|{','.join(sides[1][g])}" for g, x in sides[0].items()]
+    for ids, group in ((a_ids, aligned.a_group), (b_ids, aligned.b_group)):
+        text, ends = list(map(str, ids)), np.searchsorted(group, np.arange(1, group[-1] + 2)).tolist()
+        sides.append([text[x] if y == x + 1 else ",".join(text[x:y]) for x, y in zip([0, *ends], ends, strict=False)])
+    return [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
 
 
 class WordMemory(Remembered):
@@ -188,7 +187,7 @@ class WordMemory(Remembered):
         return self.fresh.get(word) or _words(self.tokens([word]), [word], self.tokens, self.kind)[0]
 
     def meet(self, texts: list[list[str]]) -> None:
-        new = [w for w in {w for words in texts for w in words} if w not in self and w not in self.old]
+        new = list(set().union(*texts).difference(self, self.old))
         self.fresh = dict(zip(new, _words(self.tokens(new), new, self.tokens, self.kind), strict=True)) if new else {}
 
 
@@ -244,16 +243,16 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[list[str]]]]:
 
 
 def _document(parts: list[str], memory: WordMemory, groups: bool) -> tuple:
-    words = [memory[p] for p in parts]
-    if not words:
+    if not parts:
         return NOTHING
-    if not all(w.same for w in words):
+    texts, sizes, links = zip(*map(memory.__getitem__, parts), strict=True)
+    if None in links:
         return NOTHING
-    joined = ";".join([w.groups for w in words])
-    code, times = np.unique(np.frombuffer(b"".join([w.links for w in words]), dtype="<u8"), return_counts=True)
+    joined, size = ";".join(texts), sum(sizes)
+    code, times = np.unique(np.frombuffer(b"".join(links), dtype="<u8"), return_counts=True)
     pairs = code.view("<u4").reshape(-1, 2).astype(np.int32)
-    return (sum(w.n_a for w in words), sum(w.n_b for w in words), sum(w.n_groups for w in words), joined if groups else None,
-            hashlib.sha256(joined.encode()).hexdigest(), (pairs[:, 0], pairs[:, 1], times.astype(np.int32)))
+    return (size >> 32, size & 0xFFFFFFFF, joined.count(";") + 1, joined if groups else None, hashlib.sha256(joined.encode()).hexdigest(),
+            (pairs[:, 0], pairs[:, 1], times.astype(np.int32)))
 
 
 def _batch(doc_ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
