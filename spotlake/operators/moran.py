@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spotlake.functions.aggregates import centred_square_sum, morans, pearson
 from spotlake.functions.scalars import clipped_at_zero
 from spotlake.operators.knn import knn_edges
+from spotlake.operators.tiles import gene_sums, spot_tiles, with_halo
 from spotlake.session import materialise
 
 SPOT = ["sample_id", "barcode"]
@@ -19,28 +20,18 @@ def gene_morans(
     """Moran's I per (sample, gene) of sparse ``values`` (sample_id, barcode, gene, x).
 
     ``spots`` is the spot universe (zeros count), ``var`` the gene universe. Slides with fewer than
-    ``k + 1`` spots, constant genes and genes without counts get 0.
+    ``k + 1`` spots, constant genes and genes without counts get 0. ``values`` has one row for each spot and gene;
+    those of spots outside the universe are left out. ``edges`` is a materialised table. Counts are moved by tile, not by edge.
     """
-    # the edges (k per spot) serve the in-degrees and the edge join: search them once
-    edges = materialise(knn_edges(spots, k)) if edges is None else edges
+    # the edges (k per spot) serve the tiles and their halo: search them once
+    edges = materialise(knn_edges(spots, k).select(*SPOT, "neighbor")) if edges is None else edges
     n_spots = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    edges = edges.select("sample_id", F.col("barcode").alias("i"), F.col("neighbor").alias("barcode"))
-    degree = edges.groupBy(*SPOT).agg(F.count("i").alias("degree"))
-    moments = values.join(degree, SPOT, "left").groupBy("sample_id", "gene").agg(
-        F.count(F.lit(1)).alias("m"), F.avg("x").alias("mu_s"), F.var_pop("x").alias("v_s"),
-        F.sum(F.col("x") * F.coalesce("degree", F.lit(0))).alias("lagged"))
-    # Only edges with the gene stored at both ends add to the cross sum.
-    far = edges.join(values.select(*SPOT, "gene", F.col("x").alias("xj")), SPOT).select(
-        "sample_id", F.col("i").alias("barcode"), "gene", "xj")
-    cross = (
-        far.join(values.select(*SPOT, "gene", F.col("x").alias("xi")), [*SPOT, "gene"])
-        .groupBy("sample_id", "gene").agg(F.sum(F.col("xi") * F.col("xj")).alias("cross")))
-    m, n = F.col("m").cast("double"), F.col("n").cast("double")
-    statistic = morans(F.coalesce("cross", F.lit(0.0)), F.col("lagged"), F.col("mu_s") * m / n,
-                       centred_square_sum(F.col("mu_s"), F.col("v_s"), m, n), k)
+    sums = gene_sums(values, with_halo(materialise(spot_tiles(spots)), edges))
+    m, n = F.col("m"), F.col("n").cast("double")
+    statistic = morans(F.col("cross"), F.col("lagged"), F.col("mean") * m / n, centred_square_sum(F.col("mean"), F.col("square_sum") / m, m, n), k)
     return (
         var.select("sample_id", "gene").distinct().join(n_spots, "sample_id")
-        .join(moments, ["sample_id", "gene"], "left").join(cross, ["sample_id", "gene"], "left")
+        .join(sums, ["sample_id", "gene"], "left")
         .select("sample_id", "gene",
                 F.when((F.col("n") < k + 1) | F.col("m").isNull(), F.lit(0.0)).otherwise(statistic).alias("morans_i")))
 
