@@ -12,11 +12,14 @@ aligned together, as one block-diagonal matrix.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +117,7 @@ class Tokenizers:
     """A byte-level BPE file (A, given a space before the text) and a piece model with byte fallback (B, which adds one)."""
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -124,6 +128,8 @@ class Tokenizers:
             self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = [np.array(list(map(len, names)), dtype=np.int64) for names in (self.a_bytes, self.b_bytes)]
+        self.texts = list(map(str, range(max(len(self.a_bytes), len(pieces)))))
         if any(re.search(rf"[^{SPACE}]{SPACE}", p) for p in pieces):
             raise ValueError("a piece reaches over the space between two words")
 
@@ -142,13 +148,12 @@ def _words(found: list[tuple[list[int], list[int]]], texts: list[str], tokens: T
     sizes = np.array([1 + len(t.encode()) for t in texts], dtype=np.int64)
     sides = []
     for side, names in ((0, tokens.a_bytes), (1, tokens.b_bytes)):
-        ids = [i for x in found for i in x[side]]
-        raw = [names[i] for i in ids]
-        ends = np.cumsum([len(x[side]) for x in found], dtype=np.int64)
-        sides.append((ids, raw, np.array(list(map(len, raw)), dtype=np.int64), ends))
+        each = [x[side] for x in found]
+        ids = list(chain.from_iterable(each))
+        sides.append((ids, b"".join(map(names.__getitem__, ids)), tokens.sizes[side][ids], np.cumsum(list(map(len, each)), dtype=np.int64)))
     whole = (" " + " ".join(texts)).encode()
     byte_ends = [np.concatenate(([0], np.cumsum(lengths)))[ends] for _, _, lengths, ends in sides]
-    if not all(b"".join(raw) == whole for _, raw, _, _ in sides) or any((ends != np.cumsum(sizes)).any() for ends in byte_ends):
+    if not all(raw == whole for _, raw, _, _ in sides) or any((ends != np.cumsum(sizes)).any() for ends in byte_ends):
         good = [b"".join([tokens.a_bytes[i] for i in a]) == b" " + t.encode() == b"".join([tokens.b_bytes[i] for i in b])
                 for t, (a, b) in zip(texts, found, strict=True)]
         kept = iter(_words([f for f, ok in zip(found, good, strict=True) if ok], [t for t, ok in zip(texts, good, strict=True) if ok], tokens, kind) if any(good) else [])
@@ -157,7 +162,7 @@ def _words(found: list[tuple[list[int], list[int]]], texts: list[str], tokens: T
     aligned = align(a_lengths, b_lengths, kind)
     links = np.column_stack((np.array(a_ids)[aligned.left], np.array(b_ids)[aligned.right])).astype("<u4").tobytes()
     link_ends = np.searchsorted(aligned.left, a_ends) * 8
-    groups = _group_texts(a_ids, b_ids, aligned)
+    groups = _group_texts(list(map(tokens.texts.__getitem__, a_ids)), list(map(tokens.texts.__getitem__, b_ids)), aligned)
     group_ends = aligned.a_group[a_ends - 1] + 1
     out: list[Word] = []
     first = [0, 0, 0, 0]
@@ -167,11 +172,11 @@ def _words(found: list[tuple[list[int], list[int]]], texts: list[str], tokens: T
     return out
 
 
-def _group_texts(a_ids: list[int], b_ids: list[int], aligned: Aligned) -> list[str]:
+def _group_texts(a_ids: list[str], b_ids: list[str], aligned: Aligned) -> list[str]:
     """``a1,a2|b1`` of each group."""
     sides = []
-    for ids, group in ((a_ids, aligned.a_group), (b_ids, aligned.b_group)):
-        text, ends = list(map(str, ids)), np.searchsorted(group, np.arange(1, group[-1] + 2)).tolist()
+    for text, group in ((a_ids, aligned.a_group), (b_ids, aligned.b_group)):
+        ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group)).tolist()
         sides.append([text[x] if y == x + 1 else ",".join(text[x:y]) for x, y in zip([0, *ends], ends, strict=False)])
     return [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
 
@@ -187,8 +192,15 @@ class WordMemory(Remembered):
         return self.fresh.get(word) or _words(self.tokens([word]), [word], self.tokens, self.kind)[0]
 
     def meet(self, texts: list[list[str]]) -> None:
+        """Align what is new in ``texts``. It makes many small objects and no cycles, so the collector waits."""
         new = list(set().union(*texts).difference(self, self.old))
-        self.fresh = dict(zip(new, _words(self.tokens(new), new, self.tokens, self.kind), strict=True)) if new else {}
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            self.fresh = dict(zip(new, _words(self.tokens(new), new, self.tokens, self.kind), strict=True)) if new else {}
+        finally:
+            if collects:
+                gc.enable()
 
 
 @lru_cache(maxsize=2)
