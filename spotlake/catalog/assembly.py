@@ -76,13 +76,19 @@ def channel_model():
     return lambda batch: np.concatenate([batch.mean(axis=(2, 3)), batch.max(axis=(2, 3))], axis=1)
 
 
-@query("udf_01_feature_extraction", """SELECT sample_id, barcode, 6 AS width, round((avg(v) / 255 - 0.485::DOUBLE) / 0.229::DOUBLE, 3) AS first FROM (
- SELECT sample_id, barcode, CAST('0x' || substr(m, i * 6 + 1, 2) AS INTEGER)::DOUBLE AS v FROM (
-  SELECT sample_id, barcode, md5('0:' || barcode) || md5('1:' || barcode) || md5('2:' || barcode) AS m FROM b_obs),
- (SELECT unnest(generate_series(0, 15)) AS i)) GROUP BY 1, 2""", i="width")
+_PIXELS = """SELECT sample_id, barcode, ch, i % 4 AS x, i // 4 AS y, CAST('0x' || substr(m, i * 6 + ch * 2 + 1, 2) AS INTEGER)::DOUBLE / 255 AS v FROM (
+ SELECT sample_id, barcode, md5('0:' || barcode) || md5('1:' || barcode) || md5('2:' || barcode) AS m FROM b_obs),
+ (SELECT unnest(generate_series(0, 15)) AS i), (SELECT unnest(generate_series(0, 2)) AS ch)"""
+_NORMED = "(v - [0.485::DOUBLE, 0.456::DOUBLE, 0.406::DOUBLE][ch + 1]) / [0.229::DOUBLE, 0.224::DOUBLE, 0.225::DOUBLE][ch + 1]"
+
+
+@query("udf_01_feature_extraction", f"""SELECT sample_id, barcode, ch + 3 * k AS pos, round(CASE k WHEN 0 THEN mean ELSE most END, 3) AS value FROM (
+ SELECT sample_id, barcode, ch, avg({_NORMED}) AS mean, max({_NORMED}) AS most FROM d_pixels GROUP BY 1, 2, 3), (SELECT unnest([0, 1]) AS k)""",
+       i="pos", d_pixels=_PIXELS)
 def _(b: Bindings):
     out = inference.extract_features(patches(b), channel_model, 64)
-    return out.select("sample_id", "barcode", F.size("features").alias("width"), F.round(F.col("features")[0].cast("double"), 3).alias("first"))
+    return out.select("sample_id", "barcode", F.posexplode("features").alias("pos", "value")).select(
+        "sample_id", "barcode", "pos", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
 def halves_model():
@@ -106,23 +112,60 @@ def _(b: Bindings):
     return inference.score_slides(inference.score_spots(b.features, halves_model, ["low", "high", "all"], 64))
 
 
+def centred_model():
+    """Stand-in head that needs the whole slide: sums of the halves, less their mean over all spots."""
+    def run(x, _):
+        halves = np.stack([x[:, :32].sum(1), x[:, 32:].sum(1)], axis=1)
+        return halves - halves.mean(0)
+    return run
+
+
+def spread_model():
+    """Stand-in head with one answer for a slide: the variance of each half, and the mean distance from the centre."""
+    def run(x, xy):
+        halves = np.stack([x[:, :32].sum(1), x[:, 32:].sum(1)], axis=1)
+        return np.append(halves.var(0), np.hypot(*(xy - xy.mean(0)).T).mean())[None]
+    return run
+
+
+@query("udf_02_whole_slide_dense", """SELECT sample_id, barcode, 'low' AS pathway, a - avg(a) OVER (PARTITION BY sample_id) AS score FROM d_halves
+ UNION ALL SELECT sample_id, barcode, 'high', b - avg(b) OVER (PARTITION BY sample_id) FROM d_halves""", r="score", d_halves=_HALVES)
+def _(b: Bindings):
+    return inference.score_whole_slides(b.features, centred_model, ["low", "high"], 64)
+
+
+@query("udf_02_whole_slide_global", """SELECT sample_id, pathway, CASE pathway WHEN 'low' THEN low WHEN 'high' THEN high ELSE spread END AS score FROM (
+ SELECT sample_id, var_pop(a) AS low, var_pop(b) AS high FROM d_halves GROUP BY 1) JOIN (SELECT sample_id, avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS spread FROM (
+ SELECT sample_id, x, y, avg(x) OVER (PARTITION BY sample_id) AS mx, avg(y) OVER (PARTITION BY sample_id) AS my FROM b_features) GROUP BY 1) USING (sample_id),
+ (SELECT unnest(['low', 'high', 'spread']) AS pathway)""", r="score", d_halves=_HALVES)
+def _(b: Bindings):
+    return inference.score_whole_slides(b.features, spread_model, ["low", "high", "spread"], 64, dense=False)
+
+
 @query("udf_03_patch_scoring", "SELECT sample_id, barcode, a AS low, c AS whole FROM d_halves", r="low whole", d_halves=_HALVES)
 def _(b: Bindings):
     s = inference.score_patches(b.features, halves_model)
     return s.select("sample_id", "barcode", F.col("scores")[0].alias("low"), F.col("scores")[2].alias("whole"))
 
 
-def corner_model():
-    """Stand-in backbone: the first pixel of each channel."""
-    return lambda batch: batch[:, :, 0, 0]
+def pixel_model():
+    """Stand-in backbone: every pixel, channel by channel, row by row."""
+    return lambda batch: batch.reshape(len(batch), -1)
+
+
+# The eight symmetries of a 4 x 4 patch, written out for each number.
+_MOVED = """SELECT sample_id, barcode, op, ch, v, CASE op WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 3 - x WHEN 3 THEN 3 - y WHEN 4 THEN 3 - x WHEN 5 THEN x WHEN 6 THEN y ELSE 3 - y END AS x,
+ CASE op WHEN 0 THEN y WHEN 1 THEN 3 - x WHEN 2 THEN 3 - y WHEN 3 THEN x WHEN 4 THEN y WHEN 5 THEN 3 - y WHEN 6 THEN x ELSE 3 - x END AS y
+ FROM (SELECT *, barcode % 8 AS op FROM d_pixels)"""
 
 
-@query("udf_04_patch_preprocessing", """SELECT sample_id, barcode, round(r, 3) AS r, round(g, 3) AS g, round(b, 3) AS b FROM (SELECT sample_id, barcode, (r / 255.0::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE AS r, (g / 255.0::DOUBLE - 0.456::DOUBLE) / 0.224::DOUBLE AS g,
- (b / 255.0::DOUBLE - 0.406::DOUBLE) / 0.225::DOUBLE AS b FROM (SELECT sample_id, barcode, CAST('0x' || m[1:2] AS INTEGER) AS r, CAST('0x' || m[3:4] AS INTEGER) AS g,
- CAST('0x' || m[5:6] AS INTEGER) AS b FROM (SELECT sample_id, barcode, md5('0:' || barcode) AS m FROM b_obs)))""")
+@query("udf_04_patch_preprocessing", f"""SELECT sample_id, barcode, op, ch * 16 + y * 4 + x AS pos, round({_NORMED}, 3) AS value FROM d_moved""",
+       i="op pos", d_pixels=_PIXELS, d_moved=_MOVED)
 def _(b: Bindings):
-    f = inference.extract_features(patches(b), corner_model)
-    return f.select("sample_id", "barcode", *[F.round(F.col("features")[i].cast("double"), 3).alias(c) for i, c in enumerate("rgb")])
+    moved = patches(b).withColumn("op", F.col("barcode") % 8)
+    out = inference.extract_features(moved, pixel_model)
+    return out.select("sample_id", "barcode", (F.col("barcode") % 8).alias("op"), F.posexplode("features").alias("pos", "value")).select(
+        "sample_id", "barcode", "op", "pos", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
 @query("udf_05_contract", "SELECT sample_id, count(*) AS n FROM b_obs GROUP BY 1", i="n")

@@ -99,14 +99,17 @@ def _(b: Bindings):
     sample_stream.process_new_samples(
         nations.select(F.explode(F.array(key, key + 100)).alias("sample_id")), tables, b.gene_sets, root,
         work_path(b.spark, "rejected-samples-check"), LIMITS).awaitTermination()
-    return b.spark.read.parquet(f"{root}/rejected").select(F.col("sample_id").cast("bigint").alias("sample_id"), "reason")
+    return sample_stream.read_rejected(b.spark, root).select(F.col("sample_id").cast("bigint").alias("sample_id"), "reason")
 
 
 @query("str_05_early_stopping", EARLY_STOP)
 def _(b: Bindings):
-    one = losses(b).repartition("run_name").sortWithinPartitions("run_name", "epoch")
-    out = _two_arrivals(b, one, lambda rows: stream.early_stopping(rows, 3), "stop", "update")
-    return out.groupBy("run_name").agg(F.max_by("stop_epoch", "batch").alias("stop_epoch"))
+    rows = losses(b)
+    path, root, check = (work_path(b.spark, f"stop-{part}") for part in ("in", "out", "check"))
+    for part in (rows.filter("epoch <= 12"), rows.filter("epoch > 12")):
+        part.write.mode("append").parquet(path)
+        stream.early_stopping(stream.tail(b.spark, path, rows.schema), root, check, 3).awaitTermination()
+    return stream.stop_state(b.spark, root).select("run_name", "stop_epoch")
 
 
 @query("str_06_one_row_per_epoch", "SELECT DISTINCT run_name, epoch FROM b_metrics_long")

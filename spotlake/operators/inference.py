@@ -105,6 +105,42 @@ def score_slides(dense: DataFrame) -> DataFrame:
     return dense.groupBy("sample_id", "pathway").agg(F.avg("score").alias("score"))
 
 
+MAX_SPOTS = 200_000  # of a slide that one task may hold
+
+
+def score_whole_slides(
+    features: DataFrame, model_factory: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]],
+    names: list[str], width: int, dense: bool = True, max_spots: int = MAX_SPOTS,
+) -> DataFrame:
+    """Scores of a model that has to see a whole slide, one slide at a time.
+
+    The model gets (N, width) features and (N, 2) coordinates in the order of barcodes. With ``dense`` it returns (N, P)
+    and every spot has its scores (sample_id, barcode, pathway, score); else (1, P) or (P,), and every slide has them
+    (sample_id, pathway, score). A slide with more than ``max_spots`` spots raises before any of it is gathered.
+    """
+    missing = {"x", "y"} - set(features.columns)
+    if missing:
+        raise ValueError("coordinates are required")
+    keys = ["sample_id", "barcode"] if dense else ["sample_id"]
+    sizes = features.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    wide = F.concat(F.lit("slide "), F.col("sample_id").cast("string"), F.lit(f" has more than {max_spots} spots: "), F.col("n").cast("string"))
+    spots = check_width(features, width).select("sample_id", "barcode", "x", "y", "features").join(sizes, "sample_id")
+    spots = spots.withColumn("features", F.when(F.col("n") <= max_spots, F.col("features")).otherwise(F.raise_error(wide))).drop("n")
+
+    def run(slide: pd.DataFrame) -> pd.DataFrame:
+        slide = slide.sort_values("barcode", kind="stable")
+        got = np.asarray(model_factory()(np.stack(slide["features"].to_numpy()).astype(np.float64), slide[["x", "y"]].to_numpy(dtype=np.float64)), dtype=np.float64)
+        rows = len(slide) if dense else 1
+        if got.reshape(-1, len(names)).shape != (rows, len(names)) or (dense and got.ndim != 2):
+            raise ValueError(f"expected scores of shape {(rows, len(names))}, found {got.shape}")
+        return slide[keys].head(rows).assign(scores=list(got.reshape(rows, len(names))))
+
+    schema = T.StructType([*[features.schema[k] for k in keys], T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    labels = F.array(*[F.lit(n) for n in names])
+    scored = spots.groupBy("sample_id").applyInPandas(run, schema)
+    return scored.select(*keys, F.posexplode("scores").alias("i", "score")).select(*keys, F.element_at(labels, F.col("i") + 1).alias("pathway"), "score")
+
+
 def score_patches(features: DataFrame, model_factory: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
     """Score rows on their own, each at coordinate (0, 0)."""
 

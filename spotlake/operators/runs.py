@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotlake.operators.index import position
+from spotlake.session import materialise
 
 # Rows of a curve that one task walks over.
 PIECE = 100_000
@@ -75,38 +74,76 @@ def _best_so_far(placed: DataFrame, pos: str, piece: int) -> DataFrame:
 
 
 def early_stop(losses: DataFrame, patience: int = 15, min_delta: float = 0.0, piece: int = PIECE) -> DataFrame:
-    """Epoch at which patience ends, per run; NULL when the run is never stopped.
+    """Epoch at which patience ends, per run (run_name, stop_epoch, best_loss); NULL when the run is never stopped."""
+    return continued_stop(losses, None, patience, min_delta, piece).select("run_name", "stop_epoch", "best_loss")
+
+
+def continued_stop(losses: DataFrame, state: DataFrame | None, patience: int = 15, min_delta: float = 0.0, piece: int = PIECE) -> DataFrame:
+    """(run_name, stop_epoch, best_loss, wait): early stopping over ``losses`` (run_name, epoch, val_loss), per run.
 
-    ``min_delta`` makes the best value depend on the path, so this is a fold. Only a loss below all
-    earlier losses can be accepted, hence the fold walks over these records and not over all epochs: the
-    last accepted position plus ``patience`` is the stop unless a record is accepted before. The records of
-    a run pass one task as a sorted stream, of which it holds one row.
+    ``state`` (run_name, best, wait) says what was accepted last and how many epochs ago; runs without a row there begin.
+    ``wait`` of the result is the number of epochs since the last accepted loss; a null loss is an epoch without one.
+
+    ``min_delta`` makes the best value depend on the path: after an accepted loss the next one is the first that lies
+    lower by more than that, and the run stops if it comes after ``patience`` epochs or never. Only records, losses below
+    all earlier ones, can be accepted, and they fall, so the next one is found by an ordered search among the records of
+    the next ``patience`` epochs. A run is cut into pieces; for each record of a piece the fold is followed to the
+    piece's end: it stops there, or enters the next piece at some record. Neighbouring pieces are then put together
+    two by two. An entered block is entered in its first piece, so half of the rows go in each round.
     """
-    placed = position(losses, ["run_name"], [F.col("epoch")], "pos")
+    piece = max(piece, patience)
+    placed = materialise(position(losses.select("run_name", "epoch", "val_loss"), ["run_name"], [F.col("epoch"), F.col("val_loss")], "pos"))
     records = _best_so_far(placed, "pos", piece).filter("is_best").select("run_name", "pos", "val_loss")
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, best, at, over, started = None, math.inf, -1, False, False
-        for part in parts:
-            done = []
-            for name, pos, loss in zip(part["run_name"], part["pos"], part["val_loss"], strict=True):
-                if not started or name != run:
-                    if started:
-                        done.append((run, best, at + patience))
-                    run, best, at, over, started = name, math.inf, -1, False, True
-                over = over or pos > at + patience
-                if not over and loss < best - min_delta:
-                    best, at = loss, pos
-            yield pd.DataFrame(done, columns=["run_name", "best_loss", "pos"])
-        if started:
-            yield pd.DataFrame([(run, best, at + patience)], columns=["run_name", "best_loss", "pos"])
-
-    state = records.repartition("run_name").sortWithinPartitions("run_name", "pos").mapInPandas(
-        fold, f"run_name {records.schema['run_name'].dataType.simpleString()}, best_loss double, pos bigint")
-    at = placed.select("run_name", "pos", F.col("epoch").cast("int").alias("stop_epoch"))
-    every = losses.select("run_name").distinct().join(state, "run_name", "left").withColumn(
-        "pos", F.coalesce("pos", F.lit(patience - 1)))  # without any loss the wait starts before the first epoch
-    return every.join(at, ["run_name", "pos"], "left").select("run_name", "stop_epoch", "best_loss")
+    own = F.floor(F.col("pos") / piece)
+    seen = F.when((own > 0) & (F.col("pos") % piece < patience), F.array(own, own - 1)).otherwise(F.array(own))
+    kind = records.schema["run_name"].dataType.simpleString()
+
+    def follow(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pos")
+        pos, loss = rows.column("pos").to_numpy(), rows.column("val_loss").to_numpy()
+        number = rows.column("piece")[0].as_py()
+        own = int(np.searchsorted(pos, (number + 1) * piece))
+        after = np.searchsorted(-loss, -(loss[:own] - min_delta), side="right")
+        ahead = after < len(pos)
+        ahead[ahead] = pos[after[ahead]] <= pos[:own][ahead] + patience
+        last, leads = np.arange(own), np.full(own, -1)
+        for i in range(own - 1, -1, -1):
+            if ahead[i]:
+                n = after[i]
+                last[i], leads[i] = (last[n], leads[n]) if n < own else (i, pos[n])
+        return pa.table({"run_name": rows.column("run_name")[:own], "piece": np.full(own, number), "pos": pos[:own], "loss": loss[:own],
+                         "at": pos[last], "best_loss": loss[last], "into": pa.array(leads, mask=leads < 0)})
+
+    ways = materialise(records.withColumn("piece", F.explode(seen)).groupBy("run_name", "piece").applyInArrow(
+        follow, f"run_name {kind}, piece bigint, pos bigint, loss double, at bigint, best_loss double, into bigint"))
+    runs = placed.groupBy("run_name").agg(F.count(F.lit(1)).alias("n"))
+    begin = F.lit(None).cast("double").alias("best"), F.lit(0).cast("bigint").alias("wait")
+    if state is None:
+        runs = runs.select("*", *begin)
+    else:
+        runs = runs.join(state.select("run_name", "best", F.col("wait").cast("bigint").alias("wait")), "run_name", "left").na.fill({"wait": 0})
+    # The first record that is low enough; it counts if it comes in time, and then lies in the first piece.
+    limit = F.coalesce(F.col("best"), F.lit(float("inf"))) - min_delta
+    entry = ways.join(runs, "run_name").where(F.col("loss") < limit).groupBy("run_name").agg(F.min("pos").alias("entry"))
+    since = -1 - F.col("wait")
+    runs = materialise(runs.join(entry, "run_name", "left").withColumn("entry", F.when(F.col("entry") <= since + patience, F.col("entry"))))
+    ways = ways.join(runs.where("entry IS NOT NULL").select("run_name", "entry"), "run_name")
+    ways = materialise(ways.where("piece > 0 OR pos = entry").drop("entry", "loss"))
+    span = 1
+    while span <= (ways.agg(F.max("piece")).first()[0] or 0):
+        left, right = ways.where(F.col("piece") % (2 * span) == 0), ways.where(F.col("piece") % (2 * span) == span)
+        onward = right.select("run_name", F.col("pos").alias("into"), *[F.col(c).alias(f"r_{c}") for c in ("at", "best_loss", "into")])
+        both = left.join(onward, ["run_name", "into"], "left")
+        moved = F.col("r_at").isNotNull()
+        ways = materialise(both.select("run_name", "piece", "pos", *[
+            F.when(moved, F.col(f"r_{c}")).otherwise(F.col(c)).alias(c) for c in ("at", "best_loss", "into")]))
+        span *= 2
+    folded = runs.join(ways.select("run_name", F.col("pos").alias("entry"), "at", "best_loss"), ["run_name", "entry"], "left")
+    # Without a loss that is accepted in time the wait goes on from the state.
+    folded = folded.select("run_name", "n", F.coalesce("at", since).alias("at"), F.coalesce("best_loss", "best").alias("best_loss"))
+    stops = folded.withColumn("pos", F.col("at") + patience)
+    epochs = placed.select("run_name", "pos", F.col("epoch").cast("int").alias("stop_epoch"))
+    return stops.join(epochs, ["run_name", "pos"], "left").select("run_name", "stop_epoch", "best_loss", (F.col("n") - 1 - F.col("at")).alias("wait"))
 
 
 def elapsed_fields(metrics: DataFrame) -> DataFrame:

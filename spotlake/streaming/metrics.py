@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from spotlake.operators import runs
+from spotlake.session import materialise
+from spotlake.sources.tables import exists
 
 ROW = ["run_name", "epoch"]
 
@@ -60,32 +60,42 @@ def one_row_per_epoch(stream: DataFrame, time: str = "ts", delay: str = "1 day")
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(ROW)
 
 
-STOP_OUT = "run_name STRING, stop_epoch INT, best_loss DOUBLE, n_late INT"
-STOP_STATE = "best DOUBLE, wait INT, stop INT, last INT, late INT"
+STOP_STATE = "run_name STRING, stop_epoch INT, best DOUBLE, wait BIGINT, last INT, n_late BIGINT"
 
 
-def early_stopping(stream: DataFrame, patience: int = 15, min_delta: float = 0.0) -> DataFrame:
-    """Early-stopping state per run kept across arrivals; emits the state after each arrival.
+def early_stopping(stream: DataFrame, root: str, checkpoint: str, patience: int = 15, min_delta: float = 0.0) -> StreamingQuery:
+    """Early stopping of each run over the arrivals of ``stream`` (run_name, epoch, val_loss).
 
-    Inside one arrival epochs are sorted here. An epoch that comes after a later one was seen, in an earlier
-    arrival, cannot change what was decided: it is left out and counted in ``n_late``.
+    Each arrival goes on from the state that the one before has left, with the same pieces as in a batch
+    (``runs.continued_stop``), so an arrival may be as long as a whole log. Its new state, one row for every run seen so
+    far, is a version of its own below ``root``: a repeated arrival overwrites only itself. An epoch that comes after a
+    later one was seen in an earlier arrival cannot change what was decided: it is left out and counted in ``n_late``.
     """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, wait, stop, last, late = state.get if state.exists else (float("inf"), 0, None, None, 0)
-        seen = last
-        rows = sorted((int(e), float(v)) for pdf in parts for e, v in zip(pdf["epoch"], pdf["val_loss"]))
-        for epoch, loss in rows:
-            if seen is not None and epoch <= seen:
-                late += 1
-                continue
-            last = epoch
-            if stop is not None:
-                continue
-            best, wait = (loss, 0) if loss < best - min_delta else (best, wait + 1)
-            stop = epoch if wait >= patience else None
-        state.update((best, wait, stop, last, late))
-        yield pd.DataFrame({"run_name": [key[0]], "stop_epoch": pd.array([stop], dtype="Int32"), "best_loss": [best], "n_late": [late]})
-
-    return stream.groupBy("run_name").applyInPandasWithState(
-        step, STOP_OUT, STOP_STATE, "update", GroupStateTimeout.NoTimeout)
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("run_name", F.col("epoch").cast("int").alias("epoch"), F.col("val_loss").cast("double").alias("val_loss"))
+        before = stop_state(batch.sparkSession, root, batch_id)
+        held = materialise(rows.join(before.select("run_name", "last", "stop_epoch"), "run_name", "left"))
+        late = F.col("last").isNotNull() & (F.col("epoch") <= F.col("last"))
+        seen = held.groupBy("run_name").agg(F.max("epoch").alias("newest"), F.count_if(late).alias("late"))
+        open_rows = held.where(~late & F.col("stop_epoch").isNull()).select("run_name", "epoch", "val_loss")
+        after = runs.continued_stop(open_rows, before, patience, min_delta).withColumnsRenamed({"stop_epoch": "stops", "wait": "waited"})
+        both = before.join(seen, "run_name", "full").join(after, "run_name", "left").select(
+            "run_name", F.coalesce("stop_epoch", "stops").alias("stop_epoch"), F.coalesce("best_loss", "best").alias("best"),
+            F.coalesce("waited", "wait").alias("wait"), F.greatest("last", "newest").alias("last"),
+            (F.coalesce("n_late", F.lit(0)) + F.coalesce("late", F.lit(0))).alias("n_late"))
+        both.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
+
+
+def stop_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """(run_name, stop_epoch, best, wait, last, n_late) after the newest arrival, or after the newest one before ``before``."""
+    none = spark.createDataFrame([], STOP_STATE)
+    if not exists(spark, root):
+        return none
+    versions = spark.read.schema(f"{STOP_STATE}, batch BIGINT").parquet(root)
+    if before is not None:
+        versions = versions.where(F.col("batch") < before)
+    newest = versions.agg(F.max("batch")).first()[0]
+    return none if newest is None else versions.where(F.col("batch") == newest).drop("batch")

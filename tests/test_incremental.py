@@ -5,7 +5,7 @@ from spotlake.plans.activities import Thresholds, pathway_activities
 from spotlake.session import work_path
 from spotlake.sources import tables
 from spotlake.streaming import metrics as stream
-from spotlake.streaming.samples import process_new_samples
+from spotlake.streaming.samples import process_new_samples, read_rejected
 
 
 def test_new_samples_only(spark):
@@ -40,6 +40,25 @@ def test_new_samples_only(spark):
     assert rounded(morans, "morans_i") == rounded(want.morans, "morans_i")
 
 
+def test_a_later_success_retires_a_rejection(spark):
+    """Sample 0 comes without spots first, sample 1 stays without any; a third arrival of both changes nothing for 0."""
+    obs = spark.createDataFrame([(0, i, float(i), 0.0) for i in range(5)], "sample_id INT, barcode INT, x DOUBLE, y DOUBLE")
+    expr = spark.createDataFrame([(0, i, f"g{j}", float(1 + (i * j) % 3)) for i in range(5) for j in range(4)], "sample_id INT, barcode INT, gene STRING, count DOUBLE")
+    var = spark.createDataFrame([(0, f"g{j}") for j in range(4)], "sample_id INT, gene STRING")
+    sets = spark.createDataFrame([("c", "A", f"g{j}") for j in range(3)], "collection STRING, pathway STRING, gene STRING")
+    src, root, check = (work_path(spark, n) for n in ("retry", "retried", "retry-check"))
+    rejected = []
+    for ready in (False, True, True):
+        def of(ids, ready=ready):
+            return tuple(df.where(str(ready)).join(ids, "sample_id", "left_semi") for df in (obs, var, expr))
+
+        spark.createDataFrame([(0,), (1,)], "sample_id INT").write.mode("append").parquet(src)
+        process_new_samples(stream.tail(spark, src, "sample_id INT"), of, sets, root, check, Thresholds(1, 1, None, 2, 1, 3)).awaitTermination()
+        rejected.append(sorted(tuple(r) for r in read_rejected(spark, root).collect()))
+    assert rejected == [[(0, "no data"), (1, "no data")], [(1, "no data")], [(1, "no data")]]
+    assert tables.read_activities(spark, root)[0].select("sample_id").distinct().collect() == [(0,)]
+
+
 def test_discovery(spark):
     root = work_path(spark, "files")
     for name in ("A1.h5", "B2.h5"):

@@ -42,6 +42,25 @@ def test_scoring_hooks(features):
         inference.score_spots(features.drop("x"), model, ["sum", "x"], 4)
 
 
+def test_whole_slides(features):
+    """A dense and a global model that see all spots of a slide at once, in the order of barcodes."""
+    centred = inference.score_whole_slides(features.repartition(5), lambda: (lambda x, xy: x[:, :2] - x[:, :2].mean(0) + xy[:1, :1]), ["a", "b"], 4)
+    got = {(r.sample_id, r.barcode, r.pathway): r.score for r in centred.collect()}
+    assert got == {(s, b, p): b - 2.5 for s in (0, 1) for b in range(6) for p in "ab"}
+    for answer in (lambda x, xy: x.sum(0)[None, :1], lambda x, xy: x.sum(0)[:1]):
+        slide = inference.score_whole_slides(features, lambda: answer, ["all"], 4, dense=False)  # noqa: B023
+        assert {r.sample_id: r.score for r in slide.collect()} == {0: 15, 1: 21}
+    one = lambda: (lambda x, xy: x[:, :1])
+    with pytest.raises(Exception, match="slide 0 has more than 5 spots: 6|slide 1 has more than 5 spots: 6"):
+        inference.score_whole_slides(features, one, ["a"], 4, max_spots=5).collect()
+    with pytest.raises(Exception, match="expected scores of shape"):
+        inference.score_whole_slides(features, one, ["a"], 4, dense=False).collect()
+    with pytest.raises(Exception, match="expected feature vectors of length 5, found 4"):
+        inference.score_whole_slides(features, one, ["a"], 5).collect()
+    with pytest.raises(ValueError):
+        inference.score_whole_slides(features.drop("y"), one, ["a"], 4)
+
+
 def test_feature_extraction(spark):
     img = bytes(range(12))
     df = spark.createDataFrame([(0, i, 0.0, 0.0, img, 2, 2, 3) for i in range(5)],

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,20 +99,47 @@ def test_stream_upsert_over_two_arrivals(spark):
     assert stream.read_latest(spark, root).count() == 3
 
 
-def test_stream_early_stop_keeps_state(spark):
+def fold(values, patience, delta):
+    """(stop position, best loss) of a list of losses."""
+    wait, best = 0, None
+    for i, v in enumerate(values):
+        best, wait = (v, 0) if v is not None and (best is None or v < best - delta) else (best, wait + 1)
+        if wait >= patience:
+            return i, best
+    return None, best
+
+
+@pytest.mark.parametrize("piece", [16, 100_000])
+def test_early_stop_over_many_pieces(spark, piece):
+    """Falling, noisy and late runs, in pieces of 16 rows or whole; every record of a falling run could be accepted."""
+    draw = random.Random(piece)
+    curves = {"falling": [1000 - i / 7 for i in range(700)], "slow": [1000 - i / 7 + draw.random() for i in range(700)],
+              "flat end": [50.0 - i for i in range(40)] + [20.0] * 60, "late": [None] * 9 + [3.0, 2.0], "never": [None] * 4, "nothing": [None] * 30, "one": [1.0]}
+    rows = [(name, i, v) for name, values in curves.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "run_name STRING, epoch INT, val_loss DOUBLE").repartition(5)
+    for patience, delta in ((5, 0.0), (16, 1.0), (12, 2.5)):
+        got = {r.run_name: (r.stop_epoch, r.best_loss) for r in runs.early_stop(df, patience, delta, piece).collect()}
+        assert got == {name: fold(values, patience, delta) for name, values in curves.items()}
+
+
+def test_stream_early_stop_equals_the_batch(spark):
+    """Three arrivals, the last two with rows that come too late; a fourth start without input changes nothing."""
     src, root, check = (work_path(spark, n) for n in ("es-in", "es-out", "es-check"))
-    values = [5, 4, 4.5, 4.2, 3.9, 4.1, 4.0, 4.3]
+    curves = {"a": [5, 4, 4.5, 4.2, 3.9, 4.1, 4.0, 4.3], "b": [2, 3, 4, 1, 1, 1, 1, 1], "c": [9 - i for i in range(8)], "d": [None, 7, None, 7, 6.9, 7, 6, 8]}
     schema = "run_name STRING, epoch INT, val_loss DOUBLE"
 
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
-
-    for lo, hi in ((0, 3), (3, 6), (6, 8)):
-        part = losses(spark, values).filter((F.col("epoch") >= lo) & (F.col("epoch") < hi)).coalesce(1)
-        part.write.mode("append").parquet(src)
-        out = stream.early_stopping(stream.tail(spark, src, schema), 3)
-        out.writeStream.outputMode("update").option("checkpointLocation", check).foreachBatch(write).trigger(
-            availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(root).orderBy(F.col("batch").desc()).first()
-    want = runs.early_stop(losses(spark, values), 3).first()
-    assert got.stop_epoch == want.stop_epoch == 7 and got.best_loss == pytest.approx(3.9)
+    def rows(lo, hi):
+        return [(r, i, None if v is None else float(v)) for r, values in curves.items() for i, v in enumerate(values) if lo <= i < hi]
+
+    late = {3: [("a", 1, 0.0), ("c", 0, -5.0)], 6: [("a", 5, 0.0)]}
+    for lo, hi in ((0, 3), (3, 6), (6, 8), (8, 8)):
+        part = spark.createDataFrame(rows(lo, hi) + late.get(lo, []), schema)
+        if lo < hi:
+            part.repartition(2).write.mode("append").parquet(src)
+        stream.early_stopping(stream.tail(spark, src, schema), root, check, 3, 0.5).awaitTermination()
+    got = {r.run_name: r for r in stream.stop_state(spark, root).collect()}
+    want = {r.run_name: r for r in runs.early_stop(spark.createDataFrame(rows(0, 8), schema), 3, 0.5).collect()}
+    assert {n: (r.stop_epoch, r.best) for n, r in got.items()} == {n: (r.stop_epoch, r.best_loss) for n, r in want.items()}
+    assert {n: (r.stop_epoch, r.best_loss) for n, r in want.items()} == {n: fold(v, 3, 0.5) for n, v in curves.items()}
+    assert {n: (r.n_late, r["last"]) for n, r in got.items()} == {"a": (2, 7), "b": (0, 7), "c": (1, 7), "d": (0, 7)}
+    assert stream.stop_state(spark, root, 1).where("run_name = 'a'").first().wait == 1
