@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.llm.components import connected_components
-from spotlake.llm.near_copies import shingle_hashes
 from spotlake.llm.set_join import unlinked_pairs, verified
+from spotlake.llm.shingles import shingle_hashes, shingle_sets
 from spotlake.llm.tables import checked_broadcast, discard, stored
 
 MINIMA, ROWS, BITS = 128, 5, 2
@@ -105,23 +105,6 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     return rows.mapInArrow(batches, f"doc_id {kind}, text_sha256 string, n_shingles long, digest binary, bands array<long>, packed array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(n, size, hashes): whole sets of the texts in ``wanted`` (n, text_sha256), a stored table. Stored."""
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            seen: dict[int, np.ndarray] = {}
-            for n, text in zip(part.column("n").to_pylist(), part.column("text"), strict=True):
-                if n not in seen:
-                    seen[n] = np.unique(shingle_hashes(text.as_py(), words)).view("<i8")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.int64()), pa.array([s.size for s in seen.values()], pa.int64()), pa.array(list(seen.values()), pa.list_(pa.int64()))],
-                ["n", "size", "hashes"])
-
-    body = docs.select("text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).join(checked_broadcast(wanted), "text_sha256")
-    return stored(body.select("n", "text").mapInArrow(batches, "n long, size long, hashes array<long>").dropDuplicates(["n"]), "sets")
-
-
 def shared_keys(slots: DataFrame) -> DataFrame:
     """(key, n, held) of ``slots`` (key, n) whose key several texts hold. Stored."""
     sizes = stored(slots.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "sizes")
