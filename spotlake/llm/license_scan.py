@@ -62,6 +62,22 @@ KNOWN = (
 )
 
 
+# Digests of the canonical forms of public licence texts (made by ``digest_table`` from the texts as published).
+DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "e440eb4b067ab3a0604cc274e564c22d407effa41f60ffddd2e80e17f45db876"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "22c9324e5634aa07c32060365e6191d4f9ec61fafc6091ce7394333c6d7db95e"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("BSD-3-Clause-Regents", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+)
+
+
 def canonical(low: Column) -> Column:
     """Canonical form of a lower-case text: copyright lines, punctuation and white space go, spellings are made equal.
 
@@ -87,16 +103,30 @@ def silent_notices(spark: SparkSession, known: tuple = KNOWN) -> str:
     return "|".join(f"{GAP}+".join(re.escape(word) for word in form.split(" ")) for form in forms)
 
 
+def digest_table(texts: DataFrame) -> DataFrame:
+    """(digest, license_id) of a table (license_id, text) of licence texts."""
+    return texts.select(F.sha2(canonical(ascii_lower(F.col("text"))), 256).alias("digest"), "license_id")
+
+
 def digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
     """(license_id, digest) of the known texts; a table as long as ``known``, hence broadcast."""
     return _canonical_known(spark, known).select(F.sha2("form", 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, known: tuple = KNOWN) -> DataFrame:
+def _every_digest(spark: SparkSession, known: tuple, more: DataFrame | None) -> DataFrame:
+    """(digest, license_id) of the known texts, of the fixed digests, and of ``more`` (of ``digest_table``)."""
+    fixed = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(k).alias("license_id")) for k, d in DIGESTS])))
+    every = digests(spark, known).unionByName(fixed)
+    return (every if more is None else every.unionByName(more)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
+def scan_licenses(docs: DataFrame, known: tuple = KNOWN, more: DataFrame | None = None) -> DataFrame:
     """(doc_id, unit, line_no, digest, license_id): the entire text of every row, and its lines that mention a licence or are a known notice.
 
     unit is ``text`` (line_no 0) or ``line`` (line_no from 1); license_id is null if the digest is unknown. Null
     texts count as empty; an empty text has one unit ``text`` without a licence. Repeated rows give repeated units.
+    ``known`` are texts and notices in the code, ``more`` a table of further digests (of ``digest_table``), which is shuffled
+    if it is long; a notice in ``more`` is found as a line if it mentions a licence.
     """
     units = docs.select("doc_id", F.explode(F.array(ascii_lower(F.coalesce("text", F.lit(""))))).alias("low"))
     low, silent = F.col("low"), silent_notices(docs.sparkSession, known)
@@ -107,4 +137,5 @@ def scan_licenses(docs: DataFrame, known: tuple = KNOWN) -> DataFrame:
     telling = F.filter(numbered, lambda x: x["line"].rlike(whole_line))
     lines = F.transform(telling, lambda x: F.struct(F.lit("line").alias("unit"), x["line_no"].alias("line_no"), F.sha2(canonical(x["line"]), 256).alias("digest")))
     units = units.select("doc_id", F.inline(F.when(low.rlike(hint), F.concat(whole, lines)).otherwise(whole)))
-    return units.join(F.broadcast(digests(docs.sparkSession, known)), "digest", "left").select("doc_id", "unit", "line_no", "digest", "license_id")
+    found = _every_digest(docs.sparkSession, known, more)
+    return units.join(found if more is not None else F.broadcast(found), "digest", "left").select("doc_id", "unit", "line_no", "digest", "license_id")

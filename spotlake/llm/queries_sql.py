@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from spotlake.llm.license_scan import KNOWN, MENTION, SPELLINGS
-from spotlake.llm.url_filter import DAMPING, ROUNDS, RULES, THRESHOLD
+import math
+
+from spotlake.llm.license_scan import DIGESTS, KNOWN, MENTION, SPELLINGS
+from spotlake.llm.url_filter import DAMPING, RULES, THRESHOLD, TOLERANCE
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -29,12 +31,15 @@ def _canonical(low: str) -> str:
 
 
 LICENSES_SQL = f"""
-WITH known AS (SELECT sha256({_canonical("low")}) AS digest, min(license_id) AS license_id
-  FROM (SELECT license_id, {_LOW.format("t")} AS low FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)}) v(license_id, t)) GROUP BY 1),
+WITH texts AS (SELECT sha256({_canonical("low")}) AS digest, license_id
+  FROM (SELECT license_id, {_LOW.format("t")} AS low FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)}) v(license_id, t))),
+known AS MATERIALIZED (SELECT digest, min(license_id) AS license_id FROM (SELECT digest, license_id FROM texts
+  UNION ALL SELECT digest, license_id FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(d)})" for k, d in DIGESTS)}) v(license_id, digest)) GROUP BY 1),
 low AS (SELECT doc_id, {_LOW.format("coalesce(text, '')")} AS low FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS low, generate_subscripts(string_split(low, chr(10)), 1) AS line_no FROM low WHERE regexp_matches(low, '{MENTION}')),
+lines AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS low, generate_subscripts(string_split(low, chr(10)), 1) AS line_no FROM low),
+noted AS (SELECT doc_id, line_no, regexp_matches(low, '{MENTION}') AS mentions, sha256({_canonical("low")}) AS digest FROM lines),
 units AS (SELECT doc_id, 'text' AS unit, CAST(0 AS BIGINT) AS line_no, sha256({_canonical("low")}) AS digest FROM low
-  UNION ALL SELECT doc_id, 'line', line_no, sha256({_canonical("low")}) FROM lines WHERE regexp_matches(low, '{MENTION}'))
+  UNION ALL SELECT doc_id, 'line', line_no, digest FROM noted WHERE mentions OR digest IN (SELECT digest FROM known))
 SELECT doc_id, unit, line_no, digest, license_id FROM units LEFT JOIN known USING (digest)
 """
 
@@ -45,15 +50,9 @@ def _urls() -> str:
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if what == 'rule' else v}'"
         for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))) + " END" for what in ("rule", "ruled")}
     link = r"""(?:[Hh][Rr][Ee][Ff]|[Ss][Rr][Cc])\s*=\s*["']?\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\s"'<>]+)"""
-    steps = []
-    for k in range(ROUNDS):
-        steps.append(f"""m{k} AS MATERIALIZED (SELECT to_host AS host, kind, sum(score * share) AS got FROM s{k} JOIN ways USING (host, kind) GROUP BY 1, 2),
-s{k + 1} AS MATERIALIZED (SELECT host, kind, sum(score) AS score FROM (
-  SELECT host, kind, seed * (1 - {DAMPING} * coalesce((SELECT sum(got) FROM m{k} m WHERE m.kind = seeds.kind), CASE WHEN (SELECT count(*) FROM ways) > 0 THEN 0 ELSE 0 END)) AS score FROM seeds
-  UNION ALL SELECT host, kind, {DAMPING} * got FROM m{k}) GROUP BY 1, 2)""")
-    chain = ",\n".join(steps)
+    rounds = math.ceil(math.log(TOLERANCE / 4) / math.log(DAMPING))
     return f"""
-WITH r AS (SELECT page_id, html, {rest} AS rest FROM pages),
+WITH RECURSIVE r AS (SELECT page_id, html, {rest} AS rest FROM pages),
 b AS (SELECT page_id, html, split_part(split_part(rest, '#', 1), '?', 1) AS before FROM r),
 h AS (SELECT page_id, html, {_LOW.format("split_part(before, '/', 1)")} AS host, substr(before, length(split_part(before, '/', 1)) + 1) AS path FROM b),
 j AS MATERIALIZED (SELECT page_id, host, path, {case["rule"]} AS rule, {case["ruled"]} AS ruled FROM h),
@@ -63,9 +62,15 @@ w AS (SELECT src AS host, dst AS to_host, 'trust' AS kind, n FROM e UNION ALL SE
 ways AS MATERIALIZED (SELECT host, kind, to_host, n / sum(n) OVER (PARTITION BY host, kind) AS share FROM w),
 p AS (SELECT host, CASE ruled WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, count(*) AS mass FROM j WHERE ruled IS NOT NULL GROUP BY 1, 2),
 seeds AS MATERIALIZED (SELECT host, kind, mass / sum(mass) OVER (PARTITION BY kind) AS seed FROM p),
-s0 AS (SELECT host, kind, seed AS score FROM seeds),
-{chain},
-x AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) AS distrust FROM s{ROUNDS} GROUP BY 1)
+it AS (SELECT 0 AS nth, host, kind, seed AS score FROM seeds UNION ALL
+  SELECT nth, host, kind, sum(score) FROM (
+    SELECT it.nth + 1 AS nth, to_host AS host, kind, {DAMPING} * score * share AS score FROM it JOIN ways USING (host, kind)
+    UNION ALL SELECT lost.nth + 1, host, kind, seed * again FROM seeds JOIN (
+      SELECT it.nth, kind, sum(CASE WHEN o.host IS NULL THEN score ELSE score * {1 - DAMPING} END) AS again
+      FROM it LEFT JOIN (SELECT DISTINCT host, kind FROM ways) o USING (host, kind) GROUP BY 1, 2) lost USING (kind))
+  WHERE nth <= (SELECT CASE WHEN count(*) > 0 THEN {rounds} ELSE 0 END FROM ways) GROUP BY 1, 2, 3),
+x AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) AS distrust
+  FROM it WHERE nth = (SELECT max(nth) FROM it) GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN round(distrust / (trust + distrust), 9) > {THRESHOLD} THEN 'block' END, 'allow') AS verdict FROM j LEFT JOIN x USING (host)
 """
 

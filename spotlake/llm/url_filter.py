@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotlake.llm.tables import ascii_lower, stored
+from spotlake.llm.tables import ascii_lower, discard, stored
 
 # Verdict, host, beginning of the path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 30, 1e-9, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 0.5
 LINK = r"(?i:href|src)\s*=\s*[\"']?\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\s\"'<>]+)"
 
 
@@ -48,11 +48,12 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, kind, score): personalised PageRank of each ``kind`` of ``seeds`` (host, kind, mass).
 
     trust follows links, distrust goes against them. Masses of a kind are scaled to 1; what reaches a host without
-    a way on returns to the seeds. Stops after ``rounds``, or when the scores change by less than ``tolerance``.
+    a way on returns to the seeds. Stops when the scores change by less than ``tolerance`` in all; a round shrinks the
+    change by ``damping`` at least, so that happens after at most log(tolerance / 4) / log(damping) rounds, on cycles too.
     """
     ways = links.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit("trust").alias("kind"), "n")
     ways = ways.union(links.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit("distrust").alias("kind"), "n"))
@@ -63,10 +64,10 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     for kind, mass in sums.items():
         scale = F.when(F.col("kind") == kind, F.lit(float(mass))).otherwise(scale)
     start = stored(seeds.select("host", "kind", (F.col("mass") / scale).alias("seed")), "seeds")
-    scores = start.withColumnRenamed("seed", "score")
+    scores = started = start.withColumnRenamed("seed", "score")
     if ways.isEmpty():
         return scores
-    for _ in range(rounds):
+    while True:
         moved = scores.join(ways, ["host", "kind"]).groupBy(F.col("to").alias("host"), "kind").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         moved = stored(moved, "moved")
         kept = {r.kind: r.got for r in moved.groupBy("kind").agg(F.sum("got").alias("got")).collect()}
@@ -78,10 +79,10 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         after = stored(each.groupBy("host", "kind").agg(F.sum("score").alias("score")), "scores")
         old = scores.select("host", "kind", (-F.col("score")).alias("score"))
         change = after.union(old).groupBy("host", "kind").agg(F.sum("score").alias("d")).agg(F.sum(F.abs("d"))).first()[0]
+        discard(moved, *(() if scores is started else (scores,)))
         scores = after
         if (change or 0.0) < tolerance:
-            break
-    return scores
+            return scores
 
 
 def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = THRESHOLD) -> DataFrame:

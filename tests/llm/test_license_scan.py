@@ -1,4 +1,7 @@
+import os
+
 import duckdb
+import pytest
 
 from spotlake.llm import license_scan, queries
 from spotlake.llm.queries_sql import LICENSES_SQL
@@ -50,3 +53,24 @@ def test_every_known_notice_is_found_as_a_line(spark):
 
 def test_empty_table(empty):
     assert license_scan.scan_licenses(empty).collect() == []
+
+
+PUBLISHED = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="the published texts are not on this machine")
+def test_published_texts_in_full(spark):
+    """The texts as a distribution ships them, with another wrapping and case; one word more is another text."""
+    texts = [(k, open(f"/usr/share/common-licenses/{f}", encoding="utf-8", errors="replace").read()) for k, f in PUBLISHED.items()]
+    rows = [(i, " ".join(t.split()).upper() if "copyright" not in t.lower()[:400] and k != "CC0-1.0" else t, k) for i, (k, t) in enumerate(texts)]
+    rows += [(100 + i, t + " More.", None) for i, (_, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, license_id STRING")
+    out = {r.doc_id: r.license_id for r in license_scan.scan_licenses(docs).where("unit = 'text'").collect()}
+    assert out == {i: k for i, _, k in rows}
+
+
+def test_digests_from_a_table(spark):
+    table = license_scan.digest_table(spark.createDataFrame([("House-1", "You may use this under the House Licence.\nCopyright 2020 A")], "license_id STRING, text STRING"))
+    docs = spark.createDataFrame([(1, "YOU MAY USE THIS, under the house license"), (2, "You may not"), (3, "prose\nYou may use this under the House License.")], "doc_id BIGINT, text STRING")
+    out = {(r.doc_id, r.unit): r.license_id for r in license_scan.scan_licenses(docs, more=table).collect()}
+    assert out == {(1, "text"): "House-1", (2, "text"): None, (3, "text"): None, (3, "line"): "House-1", (1, "line"): "House-1"}

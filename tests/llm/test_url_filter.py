@@ -81,3 +81,28 @@ def test_judged_urls(spark, pages, tmp_path):
 
 def test_empty_table(pages):
     assert url_filter.judge_urls(pages.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("ring", [False, True])
+def test_long_paths_and_cycles(spark, ring, tmp_path):
+    """Sixty hosts in a row (scores), or in a circle with two ways (verdicts, SQL too), behind an allowed and a blocked page."""
+    rows = [(0, "http://x.com/fr/", '<a href="http://h0.net">'), (1, "http://y.com/de/", ""), (2, "http://h59.net/", '<a href="http://y.com/"><a href="http://h0.net">' if ring else '<a href="http://y.com/">')]
+    rows += [(10 + i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net">' + (f'<a href="http://h{i - 1}.net">' if ring and i else "")) for i in range(59)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    links = {(r.src, r.dst): r.n for r in url_filter.host_links(pages).collect()}
+    t, d = ranks(links, {"x.com": 1}, 400), ranks({(b, a): n for (a, b), n in links.items()}, {"y.com": 1}, 400)
+    if not ring:
+        seeds = spark.createDataFrame([("x.com", "trust", 1.0), ("y.com", "distrust", 1.0)], "host STRING, kind STRING, mass DOUBLE")
+        scores = {(r.host, r.kind): r.score for r in url_filter.propagate(url_filter.host_links(pages), seeds).collect()}
+        for kind, want in (("trust", t), ("distrust", d)):
+            assert all(abs(scores.get((h, kind), 0) - v) < 1e-8 for h, v in want.items())
+        return
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages).collect()}
+    for i in range(60):
+        host = f"h{i}.net"
+        assert got[10 + i if i < 59 else 2] == ("block" if d.get(host, 0) > t.get(host, 0) else "allow"), host
+    assert {"allow", "block"} == {got[10 + i] for i in range(59)}
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert dict(con.execute(f"SELECT page_id, verdict FROM ({URLS_SQL})").fetchall()) == got
