@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotlake.llm.tables import WORD, fresh, stored
+from spotlake.llm.tables import WORD, stored
 
 SAMPLE = 20_000  # labelled rows that are learned from, at most
 CUTS = 32  # thresholds tried for each feature
@@ -87,17 +87,19 @@ class Condition:
     above: bool  # feature > cut, else feature <= cut
     cut: float
 
-    def holds(self) -> Column:
-        return F.col(self.feature) > F.lit(self.cut) if self.above else F.col(self.feature) <= F.lit(self.cut)
+    def holds(self, place: str = "") -> Column:
+        """Whether the condition holds; ``place`` is the struct with the features, empty where they are columns."""
+        value = F.col(place).getField(self.feature) if place else F.col(self.feature)
+        return value > F.lit(self.cut) if self.above else value <= F.lit(self.cut)
 
 
 Rule = tuple[Condition, ...]
 
 
-def _holds(rule: Rule) -> Column:
+def _holds(rule: Rule, place: str = "") -> Column:
     out = F.lit(True)
     for condition in rule:
-        out = out & condition.holds()
+        out = out & condition.holds(place)
     return out
 
 
@@ -185,16 +187,16 @@ def judge(docs: DataFrame, rules: list[tuple[Condition, ...]], columns: tuple[st
 
     A text fails the base if it has under 20 words or more than 30 in 100 words repeat; a null text has no words.
     """
-    stats = fresh(docs, "stats")
-    counted = docs.select(*columns, statistics(F.col("text")).alias(stats))
-    counted = counted.select("*", *features(F.col(stats)))
+    own = docs.select(F.struct(*[F.col(c) for c in columns]).alias("own"), statistics(F.col("text")).alias("stats"))
+    counted = own.select("own", "stats", F.struct(*features(F.col("stats"))).alias("features"))
     rule = F.lit(None).cast("int")
     for number in range(len(rules), 0, -1):
-        rule = F.when(_holds(rules[number - 1]), F.lit(number)).otherwise(rule)
-    counted = counted.withColumn("rule", rule)
-    failed = (F.col(f"{stats}.n_words") < 20) | (100 * F.col(f"{stats}.n_repeat_words") > 30 * F.col(f"{stats}.n_words"))
-    counted = counted.withColumn("base_failed", failed)
-    return counted.select(*columns, *[F.col(f"{stats}.{c}").alias(c) for c in STATISTICS], "base_failed", "rule", (~failed & F.col("rule").isNull()).alias("kept"))
+        rule = F.when(_holds(rules[number - 1], "features"), F.lit(number)).otherwise(rule)
+    failed = (F.col("stats.n_words") < 20) | (100 * F.col("stats.n_repeat_words") > 30 * F.col("stats.n_words"))
+    counted = counted.select("own", "stats", rule.alias("rule"), failed.alias("base_failed"))
+    return counted.select(
+        *[F.col("own").getField(c).alias(c) for c in columns], *[F.col("stats").getField(c).alias(c) for c in STATISTICS],
+        "base_failed", "rule", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"))
 
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")

@@ -20,9 +20,10 @@ KINDS = (
     ("access", "id", "AKIA[A-Z0-9]+", 0, 16),
     ("hex", "", "[0-9a-f]{32,}", 0, 32),  # the same spans as [0-9a-f]+ of 32 and more characters
     ("id", "id", rf"(?i:\b(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)){_SIGN}([A-Za-z0-9_.@+-]+)", 1, 3),
-    ("key", "secret", r"\b(?=[A-Za-z_/+-]{0,40}[0-9])(?=[A-Z0-9_/+-]{0,40}[a-z])(?=[a-z0-9_/+-]{0,40}[A-Z])[A-Za-z0-9_/+-]{20,}", 0, 20),
+    ("key", "secret", r"\b[A-Za-z0-9_/+-]{20,}", 0, 20),
     ("endpoint", "endpoint", r"\b(?:https?|jdbc:[a-z]+|ftp|ssh|redis|mongodb|postgres(?:ql)?|mysql|amqp)://[^\x20\x09-\x0D\"'<>]+", 0, 8),
 )
+HOLDS = {"key": ("[0-9]", "[a-z]", "[A-Z]")}  # what a match must contain
 STRONG = ("assign", "access", "hex")
 NEEDS = {"id": ("secret",), "key": ("id",), "endpoint": ("id", "secret")}  # roles that must be in scope
 SCOPE = 400
@@ -36,12 +37,19 @@ def _pieces(text: Column) -> Column:
 
 
 def _matches(text: Column, no: int) -> Column:
-    _, _, pattern, group, least = KINDS[no]
+    name, _, pattern, group, least = KINDS[no]
+
+    def passes(value: Column) -> Column:
+        out = F.char_length(value) >= least
+        for needed in HOLDS.get(name, ()):
+            out = out & value.rlike(needed)
+        return out
+
     parts, found, tested = F.split(text, pattern, -1), *(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
     bound = F.array(F.struct(parts.alias("parts"), found.alias("found"), tested.alias("tested")))  # each computed once
     each = F.transform(bound, lambda b: F.transform(b["found"], lambda m, i: F.struct(
         F.lit(no).alias("kind_no"), i.alias("nth"), F.char_length(F.get(b["parts"], i)).alias("gap"), F.char_length(m).alias("length"),
-        (F.char_length(F.get(b["tested"], i)) >= least).alias("passed"))))
+        passes(F.get(b["tested"], i)).alias("passed"))))
     return each[0]
 
 

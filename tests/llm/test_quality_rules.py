@@ -51,3 +51,12 @@ def test_no_rule_without_both_labels(labelled, empty):
 def test_all_columns_stay(tricky):
     out = quality_rules.drop_low_quality(tricky.withColumnRenamed("names", "stats").withColumnRenamed("spans", "rule"), [])
     assert out.columns == ["doc_id", "text", "row", "stats", "rule", "text_sha256"]
+
+
+def test_columns_named_like_features_go_along(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, "x", True)], "doc_id BIGINT, text STRING, words INT, rule STRING, n_words BOOLEAN")
+    rules = [(quality_rules.Condition("words", False, 5.0),)]
+    out = quality_rules.judge(docs, rules, ("doc_id", "words"))
+    assert out.select("doc_id", "words", "rule", "kept").first() == (1, 7, 1, False)
+    assert quality_rules.judge(docs, rules, ("doc_id", "rule")).collect()[0][:2] == (1, "x")
+    assert quality_rules.drop_low_quality(docs, []).columns == docs.columns

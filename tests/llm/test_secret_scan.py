@@ -66,3 +66,11 @@ def test_query_digests(spark, tmp_path, tricky, tricky_rows):
 def test_empty_table(empty):
     assert secret_scan.scan_secrets(empty).collect() == []
     assert secret_scan.redact_secrets(empty).collect() == []
+
+
+def test_keys_of_any_length_are_linked(spark):
+    """The only digit of the key stands after 55 characters, its only upper-case letter after 300."""
+    for key in ("abcdEFGH" * 7 + "zz9zz", "abcdefg1" * 40 + "Z"):
+        docs = spark.createDataFrame([(1, f"user=alice {key}"), (2, f"user=alice {key.lower()}"), (3, key)], "doc_id BIGINT, text STRING")
+        found = {r.doc_id: [(s.kind_no, s.start, s.end) for s in r.spans] for r in secret_scan.scan_secrets(docs).collect()}
+        assert found == {1: [(3, 0, 10), (4, 11, 11 + len(key))], 2: [], 3: []}
