@@ -14,14 +14,16 @@ import math
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spotlake.llm.memo import Remembered
+from spotlake.llm.memo import WORDS, Remembered
 
 SPACE = "▁"
 UNIT = 1_000_000  # scores are integers in millionths, so that sums are exact and ties are ties
@@ -57,6 +59,9 @@ class Pieces:
             self.matcher.add_word(piece, (len(piece), self.scores[piece], (i,)))
         self.matcher.make_automaton()
 
+    def spell(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.text.__getitem__, ids))
+
     def edges(self, word: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
         """Edges (start, end, score, ids) of the lattice, by end; a letter outside the vocabulary is an edge of bytes."""
         edges = [(last + 1 - size, last + 1, score, ids) for last, (size, score, ids) in self.matcher.iter(word)]
@@ -68,31 +73,27 @@ class Pieces:
             edges.sort(key=lambda e: e[1])
         return edges
 
-    def best(self, word: str) -> tuple[bytes, int, float]:
+    def best(self, word: str) -> tuple[list[int], int, float]:
         """(ids of the best path, its score, what the next path loses; infinite if there is none).
 
-        The next path leaves the best one by some edge, so the loss is the least over all other edges of what the
-        best path through such an edge loses; that takes the scores from both ends.
+        Each place of the word holds the scores of the two best paths to it, so one forward pass gives both.
         """
         size = len(word)
-        edges = self.edges(word)
-        best, came = _forward(edges, size)
-        parts, at, taken = [], size, [-1] * (size + 1)
+        best, after, came = [0] + [-math.inf] * size, [-math.inf] * (size + 1), [None] * (size + 1)
+        for start, end, score, ids in self.edges(word):
+            total, top = best[start] + score, best[end]
+            if total > top:
+                onward = after[start] + score
+                after[end] = onward if onward > top else top
+                best[end], came[end] = total, (start, ids)
+            elif total > after[end]:
+                after[end] = total
+        parts, at = [], size
         while at:
-            start, _, _, ids = came[at]
-            taken[at] = start
+            at, ids = came[at]
             parts.append(ids)
-            at = start
-        path = parts[0] if len(parts) == 1 else [i for ids in reversed(parts) for i in ids]
-        rest = [-math.inf] * size + [0]
-        through = -math.inf  # the best score over an edge that the best path does not take
-        for start, end, score, _ in reversed(edges):
-            onward = score + rest[end]
-            if onward > rest[start]:
-                rest[start] = onward
-            if taken[end] != start and best[start] + onward > through:
-                through = best[start] + onward
-        return struct.pack(f"<{len(path)}I", *path), best[size], best[size] - through
+        parts.reverse()
+        return [i for ids in parts for i in ids], best[size], best[size] - after[size]
 
     def nbest(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best paths of a lattice as (score, ids), best first (backward A*).
@@ -147,20 +148,42 @@ def _forward(edges: list[tuple[int, int, int, tuple[int, ...]]], size: int) -> t
     return best, came
 
 
-class WordPaths(Remembered):
-    """The best path of a word; ``next`` remembers the following ones of the few words that are changed."""
+class WordPaths(dict):
+    """Numbers of words that a task has met, with their best paths in flat arrays by number.
+
+    All words are forgotten between two texts once there are more than WORDS; speed only, never a different value.
+    ``next`` remembers the following paths of the few words that are changed.
+    """
 
     def __init__(self, pieces: Pieces, n: int):
         super().__init__()
         self.pieces, self.n = pieces, n
-        self.make = pieces.best
+        self.piece_size = np.zeros(max(pieces.text, default=0) + 1, np.int64)
+        for i, raw in pieces.text.items():
+            self.piece_size[i] = len(raw)
+        self.spelt = np.frombuffer(b"".join(pieces.text.get(i, b"") for i in range(len(self.piece_size))), np.uint8)
+        self.spelt_at = np.cumsum(self.piece_size) - self.piece_size
         self.next = Remembered()
         self.next.make = self.others
-
-    def others(self, word: str) -> list[tuple[int, bytes]]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.ids, self.ends, self.scores, self.losses = array("I"), array("q", [0]), array("q"), array("d")
+
+    def __missing__(self, word: str) -> int:
+        ids, score, loss = self.pieces.best(word)
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        self.scores.append(score)
+        self.losses.append(loss)
+        number = self[word] = len(self)
+        return number
+
+    def others(self, word: str) -> list[tuple[int, list[int]]]:
         """(loss, ids) of up to n paths, the first of which loses nothing."""
         paths = self.pieces.nbest(word, self.n)
-        return [(paths[0][0] - score, struct.pack(f"<{len(ids)}I", *ids)) for score, ids in paths]
+        return [(paths[0][0] - score, list(ids)) for score, ids in paths]
 
 
 @lru_cache(maxsize=2)
@@ -174,39 +197,80 @@ def chunks(text: str, pieces: Pieces) -> list[str]:
 
 
 def encode_nbest(text: str, paths: WordPaths) -> list[tuple[int, bytes]]:
-    """The best ``paths.n`` segmentations of a text as (score, ids), best first; an empty text has one, without ids.
+    """The best ``paths.n`` segmentations of a text as (score, ids), best first; an empty text has one, without ids."""
+    return [(score, ids) for score, ids, _ in segmentations(text, paths)]
+
+
+def segmentations(text: str, paths: WordPaths) -> list[tuple[int, bytes, bytes]]:
+    """As ``encode_nbest``, as (score, ids, decoded bytes with the space put before the text).
 
     Any of them leaves the best path in fewer than n words, and these can be taken among the words whose next path
-    loses least (at equal losses, the earlier ones); the paths of only these words are searched.
+    loses least (at equal losses, the earlier ones); the paths of only these words are searched, and put in place of
+    the best ones in the ids and in their bytes.
     """
     words = chunks(text, paths.pieces)
     if not words:
-        return [(0, b"")]
-    best, scores, losses = zip(*map(paths.__getitem__, words), strict=True)
-    near = [at for at in heapq.nsmallest(paths.n - 1, range(len(words)), key=losses.__getitem__) if losses[at] < math.inf]
+        return [(0, b"", b"")]
+    if len(paths) > 2 * WORDS:
+        paths.forget()
+    number = np.fromiter(map(paths.__getitem__, words), np.int64, len(words))
+    score = int(np.frombuffer(paths.scores, np.int64)[number].sum())
+    losses = np.frombuffer(paths.losses, np.float64)[number]
+    ends = np.frombuffer(paths.ends, np.int64)
+    first, sizes = ends[number], ends[number + 1] - ends[number]
+    starts = np.cumsum(sizes) - sizes
+    best = _stretches(np.frombuffer(paths.ids, np.uint32), first, sizes)
+    near = [at for at in _least(losses, paths.n - 1) if losses[at] < math.inf]
     options = [paths.next[words[at]] for at in near]
-    score = sum(scores)
     agenda: list[tuple[int, tuple[int, ...]]] = [(0, (0,) * len(near))]
-    seen, out = {agenda[0][1]}, []
-    while agenda and len(out) < paths.n:
+    seen, picks = {agenda[0][1]}, []
+    while agenda and len(picks) < paths.n:
         loss, pick = heapq.heappop(agenda)
-        path = list(best)
-        for at, choices, k in zip(near, options, pick, strict=True):
-            if k:
-                path[at] = choices[k][1]
-        out.append((score - loss, b"".join(path)))
+        picks.append((loss, pick))
         for i, choices in enumerate(options):
             step = (*pick[:i], pick[i] + 1, *pick[i + 1:])
             if step[i] < len(choices) and step not in seen:
                 seen.add(step)
                 heapq.heappush(agenda, (sum(o[k][0] for o, k in zip(options, step, strict=True)), step))
+    ids, raw = best.astype("<u4").tobytes(), _stretches(paths.spelt, paths.spelt_at[best], paths.piece_size[best]).tobytes()
+    places = sorted((int(starts[at]), int(sizes[at]), i) for i, at in enumerate(near))
+    before = [int(paths.piece_size[best[:start]].sum()) for start, _, _ in places]
+    length = [int(paths.piece_size[best[start:start + size]].sum()) for start, size, _ in places]
+    out = []
+    for loss, pick in picks:
+        some_ids, some_raw, at_id, at_raw = [], [], 0, 0
+        for (start, size, i), raw_start, raw_size in zip(places, before, length, strict=True):
+            if pick[i]:
+                other = options[i][pick[i]][1]
+                some_ids += [ids[at_id:4 * start], struct.pack(f"<{len(other)}I", *other)]
+                some_raw += [raw[at_raw:raw_start], paths.pieces.spell(other)]
+                at_id, at_raw = 4 * (start + size), raw_start + raw_size
+        out.append((score - loss, b"".join([*some_ids, ids[at_id:]]), b"".join([*some_raw, raw[at_raw:]])))
     return out
 
 
+def _stretches(pool: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``pool``, given by first entry and size, one after the other."""
+    starts = np.cumsum(sizes) - sizes
+    return pool[np.repeat(first - starts, sizes) + np.arange(sizes.sum())]
+
+
+def _least(values: np.ndarray, n: int) -> list[int]:
+    """Places of the ``n`` least values, least first; of equal ones the earlier."""
+    if n <= 0:
+        return []
+    if len(values) > n:
+        border = np.partition(values, n - 1)[n - 1]
+        below, equal = np.flatnonzero(values < border), np.flatnonzero(values == border)
+        places = np.concatenate((below, equal[:n - len(below)]))
+    else:
+        places = np.arange(len(values))
+    return places[np.lexsort((places, values[places]))].tolist()
+
+
 def decode(ids: bytes, pieces: Pieces) -> str:
     """The text of ids, as little-endian 32-bit integers, without the space put before it."""
-    numbers = struct.unpack(f"<{len(ids) // 4}I", ids)
-    return b"".join(map(pieces.text.__getitem__, numbers)).decode(errors="replace")[1:]
+    return pieces.spell(struct.unpack(f"<{len(ids) // 4}I", ids)).decode(errors="replace")[1:]
 
 
 def segment(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
@@ -224,8 +288,8 @@ def segment(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
             held = 0
             for at in range(part.num_rows):
                 text = part.column("text")[at].as_py() or ""
-                for nth, (score, ids) in enumerate(encode_nbest(text, paths), 1):
-                    rows.append((at, nth, score / UNIT, len(ids) // 4, ids, zlib.crc32(ids), decode(ids, paths.pieces) == text))
+                for nth, (score, ids, raw) in enumerate(segmentations(text, paths), 1):
+                    rows.append((at, nth, score / UNIT, len(ids) // 4, ids, zlib.crc32(ids), raw.decode(errors="replace")[1:] == text))
                     held += len(ids)
                 if held >= 1 << 24:
                     yield _batch(part.column("doc_id"), rows)
