@@ -107,6 +107,14 @@ def _(b: Bindings):
     return pooling.pathway_similarity(pooling.mean_pool(b.features), pathway_vectors(b))
 
 
+@query("fn_10_most_similar", f"""SELECT sample_id, barcode, pathway, similarity, rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY sample_id, barcode ORDER BY similarity DESC, pathway) AS rank FROM (
+  SELECT sample_id, barcode, pathway, round({_COS}, 12) AS similarity FROM (SELECT sample_id, barcode, features::DOUBLE[] AS a FROM b_features), d_vec))
+ WHERE rank <= 3""", r="similarity", i="rank", d_vec=_VECTORS)
+def _(b: Bindings):
+    return pooling.most_similar(b.features, pathway_vectors(b), 3)
+
+
 @query("fn_11_clip_at_zero", "SELECT event_id, greatest(value - 50, 0) AS clipped FROM events", r="clipped")
 def _(b: Bindings):
     return b.t("events").select("event_id", S.clipped_at_zero(F.col("value") - 50).alias("clipped"))
