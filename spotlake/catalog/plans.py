@@ -12,7 +12,8 @@ from spotlake.catalog.sources import _CHOSEN
 from spotlake.plans import studies
 from spotlake.plans.activities import pathway_activities
 from spotlake.plans.evaluation import evaluate_overall, evaluate_slides
-from spotlake.sources import expression
+from spotlake.session import work_path
+from spotlake.sources import expression, listing, tables
 
 PASSED_EDGES = """SELECT sample_id, i AS barcode, j AS neighbor FROM (SELECT a.sample_id, a.barcode AS i, b.barcode AS j,
  row_number() OVER (PARTITION BY a.sample_id, a.barcode ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.barcode) AS rank
@@ -136,5 +137,29 @@ def _(b: Bindings):
  LEFT JOIN (SELECT sample_id, count(*) AS n FROM b_var GROUP BY 1) v USING (sample_id) LEFT JOIN d_chosen c USING (sample_id)""",
        r="coverage scalef", i="n_spots n_genes n_found", d_chosen=_CHOSEN)
 def _(b: Bindings):
+    return card(b)
+
+
+def card(b: Bindings):
     return studies.sample_card(b.samples, b.obs, b.var, b.gene_sets, b.features,
                                expression.choose_image(b.images, b.scalefactors))
+
+
+@query("plan_08_full_sample_card", """SELECT s.sample_id, s.id, o.n AS n_spots, i.images, f.scalefactors,
+ concat_ws(',', CASE WHEN s.sample_id IN (SELECT label FROM embeddings) THEN 'features' END, CASE WHEN v.n IS NOT NULL THEN 'genes' END,
+  CASE WHEN o.n IS NOT NULL THEN 'spots' END) AS files FROM b_samples s
+ LEFT JOIN (SELECT sample_id, count(*) AS n FROM b_obs GROUP BY 1) o USING (sample_id) LEFT JOIN (SELECT sample_id, count(*) AS n FROM b_var GROUP BY 1) v USING (sample_id)
+ LEFT JOIN (SELECT sample_id, string_agg(image_key || ':' || h || 'x' || w, ',' ORDER BY image_key) AS images FROM b_images GROUP BY 1) i USING (sample_id)
+ LEFT JOIN (SELECT sample_id, string_agg(key || ':' || CAST(round(value * 1000) AS BIGINT), ',' ORDER BY key) AS scalefactors FROM b_scalefactors GROUP BY 1) f USING (sample_id)""",
+       i="n_spots")
+def _(b: Bindings):
+    """The kinds of files come from a listing of the folder that the tables are written to."""
+    root = work_path(b.spark, "samples")
+    for kind, table in (("features", b.features), ("spots", b.obs), ("genes", b.var)):
+        tables.write_by_sample(table, f"{root}/{kind}")
+    listed = listing.sample_files(listing.commit_listing(b.spark, root, work_path(b.spark, "listing")))
+    files = listed.withColumn("sample_id", F.col("sample_id").cast(b.samples.schema["sample_id"].dataType))
+    full = studies.full_sample_card(card(b), b.images, b.scalefactors, files)
+    shown = {"images": lambda e: F.concat(e.image_key, F.lit(":"), e.h, F.lit("x"), e.w),
+             "scalefactors": lambda e: F.concat(e.key, F.lit(":"), F.round(e.value * 1000).cast("bigint")), "files": lambda e: F.when(e.size > 0, e.kind)}
+    return full.select("sample_id", "id", "n_spots", *[F.array_join(F.transform(c, f), ",").alias(c) for c, f in shown.items()])

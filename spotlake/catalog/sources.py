@@ -10,7 +10,7 @@ from spotlake.operators import align, runs
 from spotlake.plans.activities import pathway_activities
 from spotlake.plans.vocabulary import build_vocabulary
 from spotlake.session import work_path
-from spotlake.sources import expression, genesets, tables
+from spotlake.sources import expression, genesets, listing, tables
 from spotlake.sources import runs as run_files
 
 
@@ -244,6 +244,20 @@ def _(b: Bindings):
     return parsed.withColumn("mtime", F.date_format("mtime", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("src_20_listed_artifacts", """SELECT DISTINCT 'run_' || (user_id % 8) AS run_name, 'S' || (event_id % 5) || '_epoch_' || month(ts) || '.png' AS filename,
+ 'S' || (event_id % 5) AS sample, month(ts)::INTEGER AS epoch, true AS stored FROM events WHERE event_id % 11 <> 0""")
+def _(b: Bindings):
+    """Every event is written to the artefact of its run, sample and month; a listing of the folder tells what there is."""
+    root = work_path(b.spark, "artifacts")
+    name = F.when(F.col("event_id") % 11 == 0, F.lit("overview.png")).otherwise(F.concat(
+        F.lit("S"), (F.col("event_id") % 5).cast("string"), F.lit("_epoch_"), F.month("ts").cast("string"), F.lit(".png")))
+    b.t("events").select("value", F.concat(F.lit("run_"), (F.col("user_id") % 8).cast("string")).alias("run_name"), name.alias("artifact")).repartition(
+        "run_name", "artifact").write.partitionBy("run_name", "artifact").parquet(root)
+    found = listing.listed_artifacts(listing.commit_listing(b.spark, root, work_path(b.spark, "listing")))
+    stored = found.where("size > 0 AND modificationTime IS NOT NULL")
+    return runs.sort_artifacts(runs.parse_artifacts(stored)).select("run_name", "filename", "sample", "epoch", F.lit(True).alias("stored"))
+
+
 @query("src_21_run_discovery", """SELECT DISTINCT 'run_name=' || run_name AS run_name FROM b_metrics_long
  UNION SELECT 'single'""")
 def _(b: Bindings):

@@ -66,6 +66,20 @@ def sample_card(
                 F.col("__f").isNotNull().alias("has_features")))
 
 
+def full_sample_card(card: DataFrame, images: DataFrame, scalefactors: DataFrame, files: DataFrame) -> DataFrame:
+    """Add all images with their shapes, all scale factors, and the kinds of stored files of each sample.
+
+    ``files`` has (sample_id, kind, n_files, size), as from a listing. The arrays are in order of their names; a sample that has
+    none of a sort gets an empty array.
+    """
+    parts = {"images": (images, ["image_key", "h", "w"]), "scalefactors": (scalefactors, ["key", "value"]), "files": (files, ["kind", "n_files", "size"])}
+    for name, (table, fields) in parts.items():
+        # one group is one sample: a handful of images, factors or kinds
+        found = table.where("sample_id IS NOT NULL").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        card = card.join(found, "sample_id", "left").withColumn(name, F.coalesce(name, F.array().cast(found.schema[name].dataType)))
+    return card
+
+
 def training_selection(
     samples: DataFrame, files: DataFrame, features: DataFrame | None = None, organ: str | None = None,
     val_ratio: float = 0.2, seed: int = 42,
