@@ -1,3 +1,5 @@
+import bisect
+import math
 import zlib
 
 import pytest
@@ -43,6 +45,54 @@ def test_hot_key_spreads(spark):
     assert max(got.values()) - min(got.values()) <= 0.05 * sum(got.values()) / 6
 
 
+def ring_by_hand(rows, shards, points, slack, at, owner):
+    """Shard of each row of (row, size, at, draw): rounds of a ring with bounded loads, one row at a time.
+
+    In a round every row asks the first open shard clockwise; a shard takes rows, large ones first, until it is full.
+    """
+    mean = sum(r["size"] for r in rows) / shards
+    room, full, load, out, left = math.ceil(mean * (1 + slack)), set(), dict.fromkeys(range(shards), 0), {}, list(rows)
+
+    def unsigned(v, bits):
+        return (v & (1 << 64) - 1) & (1 << bits) - 1
+
+    def order(r):
+        large = max(0, math.floor(math.log2(r["size"] / max(1.0, mean * slack))))
+        return -min(1023, large), unsigned(r["draw"], 60), unsigned(r["row"], 60)
+
+    while left:
+        asked = {}
+        for r in left:
+            start = bisect.bisect_left(at, r["at"])
+            shard = next(owner[(start + i) % len(at)] for i in range(len(at)) if owner[(start + i) % len(at)] not in full)
+            asked.setdefault(shard, []).append(r)
+        left, filled = [], set()
+        for shard, own in asked.items():
+            for r in sorted(own, key=order):
+                if load[shard] < room:
+                    out[r["row"]] = shard
+                    load[shard] += r["size"]
+                else:
+                    left.append(r)
+            if load[shard] >= room:
+                filled.add(shard)
+        full |= filled
+    return out
+
+
+@pytest.mark.parametrize("shards, slack", [(7, 0.002), (5, 0.2), (3, 0.0)])
+def test_against_ring_by_hand(spark, shards, slack):
+    """Repeated and missing doc_ids, repeated rows and a few large texts; every row lies in the shard of a plain ring."""
+    docs = spark.range(1500).select(
+        F.when(F.col("id") % 5 > 0, F.floor(F.col("id") / 3)).alias("doc_id"),
+        F.repeat(F.lit("é"), F.when(F.col("id") % 400 == 0, 5000).otherwise(F.pmod(F.col("id") * 37, F.lit(111))).cast("int")).alias("text"))
+    placed = sharding.assign_shards(docs, shards=shards, points=16, slack=slack)
+    at, owner = (a.tolist() for a in sharding.ring(spark, shards, 16))
+    rows = [{**r.asDict()} for r in placed.withColumn("at", F.xxhash64(F.lit(0), "doc_id")).collect()]
+    assert len(rows) == 1500
+    assert {r["row"]: r["shard"] for r in rows} == ring_by_hand(rows, shards, 16, slack, at, owner)
+
+
 def test_slots_and_columns(tricky, tricky_rows):
     out = sharding.shard_slots(sharding.assign_shards(tricky, shards=4), rows_per_part=3).collect()
     want = sorted(((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in tricky_rows), key=repr)
