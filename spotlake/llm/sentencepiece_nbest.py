@@ -151,7 +151,7 @@ def _forward(edges: list[tuple[int, int, int, tuple[int, ...]]], size: int) -> t
 class WordPaths(dict):
     """Numbers of words that a task has met, with their best paths in flat arrays by number.
 
-    All words are forgotten between two texts once there are more than WORDS; speed only, never a different value.
+    All words are forgotten between two texts once there are more than twice WORDS; speed only, never a different value.
     ``next`` remembers the following paths of the few words that are changed.
     """
 
