@@ -38,14 +38,52 @@ _ISC_WARRANTY = (
     "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
     "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+    "following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+    "Software.\n\n" + _WARRANTY
+)
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_CONDITIONS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission.",
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _bsd(clauses: int) -> tuple[tuple[str, str], ...]:
+    """The text with and without a heading, a line that reserves all rights, and numbers before the conditions."""
+    texts = []
+    for heading in (f"BSD {clauses}-Clause License", ""):
+        for reserved in ("", "All rights reserved."):
+            for numbered in (True, False):
+                conditions = [f"{i}. {c}" if numbered else f"* {c}" for i, c in enumerate(_BSD_CONDITIONS[:clauses], 1)]
+                texts.append("\n\n".join([part for part in (heading, reserved) if part] + [_BSD, *conditions, _BSD_WARRANTY]))
+    return tuple((f"BSD-{clauses}-Clause", text) for text in texts)
+
+
 # Public licence texts and customary one-line notices.
 KNOWN = (
-    ("MIT", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-     'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
-     "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-     "following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
-     "Software.\n\n" + _WARRANTY),
+    ("MIT", "MIT License\n\n" + _MIT),
+    ("MIT", "The MIT License (MIT)\n\n" + _MIT),
+    ("MIT", "The MIT License\n\n" + _MIT),
+    ("MIT", _MIT),
+    *_bsd(2),
+    *_bsd(3),
     ("ISC", "ISC License\n\n" + _ISC + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_WARRANTY),
+    ("ISC", _ISC + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_WARRANTY),
     ("0BSD", "BSD Zero Clause License\n\n" + _ISC + ".\n\n" + _ISC_WARRANTY),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),

@@ -74,3 +74,21 @@ def test_digests_from_a_table(spark):
     docs = spark.createDataFrame([(1, "YOU MAY USE THIS, under the house license"), (2, "You may not"), (3, "prose\nYou may use this under the House License.")], "doc_id BIGINT, text STRING")
     out = {(r.doc_id, r.unit): r.license_id for r in license_scan.scan_licenses(docs, more=table).collect()}
     assert out == {(1, "text"): "House-1", (2, "text"): None, (3, "text"): None, (3, "line"): "House-1", (1, "line"): "House-1"}
+
+
+def test_bsd_as_projects_ship_it(spark):
+    """Owner and year, wrapping, bullets, case and the older word for the holder do not matter; another condition does."""
+    two, three = (next(t for k, t in license_scan.KNOWN if k == f"BSD-{n}-Clause") for n in (2, 3))
+    owned = "Copyright (c) 2005-2024, Some People.\nAll rights reserved.\n\n"
+    bare = three[three.index("Redistribution"):]
+    bullets = bare.replace("1. ", "    * ").replace("2. ", "    * ").replace("3. ", "    * ")
+    rows = [
+        (1, three, "BSD-3-Clause"), (2, two, "BSD-2-Clause"), (3, owned + bare, "BSD-3-Clause"), (4, owned + bullets, "BSD-3-Clause"),
+        (5, owned + bare.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR").replace(", ", ",\n"), "BSD-3-Clause"),
+        (6, "BSD 2-Clause License\n\n" + owned + two[two.index("Redistribution"):].upper(), "BSD-2-Clause"),
+        (7, "(c) 2020 A, all rights reserved\n" + bare, "BSD-3-Clause"), (8, bare.replace("3. Neither", "3. Either"), None),
+        (9, owned + bare + "\n4. Pay.", None), (10, "Copyright 2011 B\n\n" + texts_of("MIT")[3], "MIT"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, want STRING")
+    out = {r.doc_id: r.license_id for r in license_scan.scan_licenses(docs).where("unit = 'text'").collect()}
+    assert out == {i: want for i, _, want in rows}
