@@ -103,6 +103,8 @@ KNOWN = (
 # Digests of the canonical forms of public licence texts (made by ``digest_table`` from the texts as published).
 DIGESTS: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "e440eb4b067ab3a0604cc274e564c22d407effa41f60ffddd2e80e17f45db876"),
+    ("Apache-2.0", "8d7c31f10cecf5237270c0218f1c0200b470f31618e6770309a5ad405adb00b6"),  # without the appendix
+    ("Apache-2.0", "bafe3e95edb5ddb356c0840d40f461550c718daae3f39231905da043653e16c9"),  # and without the line before it
     ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
     ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
     ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),

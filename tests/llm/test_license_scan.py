@@ -64,6 +64,8 @@ def test_published_texts_in_full(spark):
     texts = [(k, open(f"/usr/share/common-licenses/{f}", encoding="utf-8", errors="replace").read()) for k, f in PUBLISHED.items()]
     rows = [(i, " ".join(t.split()).upper() if "copyright" not in t.lower()[:400] and k != "CC0-1.0" else t, k) for i, (k, t) in enumerate(texts)]
     rows += [(100 + i, t + " More.", None) for i, (_, t) in enumerate(texts)]
+    terms, end = texts[0][1].split("END OF TERMS AND CONDITIONS")[0], "END OF TERMS AND CONDITIONS"
+    rows += [(200, terms, "Apache-2.0"), (201, terms + end, "Apache-2.0"), (202, terms[:-200], None)]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, license_id STRING")
     out = {r.doc_id: r.license_id for r in license_scan.scan_licenses(docs).where("unit = 'text'").collect()}
     assert out == {i: k for i, _, k in rows}
