@@ -55,8 +55,7 @@ def _(b: Bindings):
     def symbol(part: str):
         return F.concat(F.lit("G"), F.floor(F.col(part) / 2).cast("string")).alias("gene")
 
-    slides = b.samples.agg(F.collect_list("sample_id")).scalar()
-    panel = b.genes.select("p_partkey", F.explode(slides).alias("sample_id"))
+    panel = b.on_every_slide(b.genes.select("p_partkey"))
     in_panel = "NOT (sample_id % 5 = 4 AND pos % 2 = 1)"
     var = panel.select("sample_id", symbol("p_partkey"), F.col("p_partkey").alias("pos")).filter(in_panel)
     expr = b._items.select(

@@ -53,10 +53,19 @@ class Bindings:
     @cached_property
     def var(self) -> DataFrame:
         # the two panels differ by odd parts; a part row is expanded to the slides of its panels
-        slides = self.t("nation").agg(F.array_sort(F.collect_list("n_nationkey"))).scalar()
-        return self.genes.select("gene", "p_partkey", F.explode(slides).alias("sample_id")).filter(
+        return self.on_every_slide(self.genes).filter(
             ~((F.col("sample_id") % 5 == 4) & (F.col("p_partkey") % 2 == 1))).select("sample_id", "gene")
 
+    def on_every_slide(self, parts: DataFrame) -> DataFrame:
+        """``parts`` (with p_partkey) once per slide.
+
+        The rows are dealt out before they multiply, since the file of the parts is small and would be one task. Spark's size
+        estimate of a cross join counts the copies, that of an exploded array does not and leads to broadcasts of the panel.
+        """
+        slides = self.t("nation").select(F.col("n_nationkey").alias("sample_id")).where("sample_id IS NOT NULL")
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return parts.repartition(tasks, "p_partkey").crossJoin(F.broadcast(slides))
+
     @cached_property
     def _items(self) -> DataFrame:
         return (

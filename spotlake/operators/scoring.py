@@ -51,7 +51,8 @@ def gene_moments(x: DataFrame, n_spots: DataFrame) -> DataFrame:
 def set_weights(gene_sets: DataFrame) -> DataFrame:
     """(pathway, gene, times, weight): a gene listed twice in a set counts twice.
 
-    An optional ``weight`` column of the sets turns the plain mean into a weighted mean.
+    An optional ``weight`` column of the sets turns the plain mean into a weighted mean. It grows with the gene panel, and its
+    file is much smaller than its rows, so joins by gene are merge joins: the driver never holds it for a broadcast.
     """
     weight = F.sum("weight") if "weight" in gene_sets.columns else F.count(F.lit(1)).cast("double")
     return gene_sets.groupBy("pathway", "gene").agg(F.count(F.lit(1)).alias("times"), weight.alias("weight"))
@@ -62,7 +63,7 @@ def set_sizes(samples: DataFrame, var: DataFrame, gene_sets: DataFrame, min_gene
 
     A set without any member present is listed with 0 genes.
     """
-    present = var.select("sample_id", "gene").distinct().join(set_weights(gene_sets), "gene").groupBy("sample_id", "pathway").agg(
+    present = var.select("sample_id", "gene").distinct().join(set_weights(gene_sets).hint("merge"), "gene").groupBy("sample_id", "pathway").agg(
         F.sum("times").alias("n_genes"), F.sum("weight").alias("total_weight"))
     return (
         with_each(samples.select("sample_id").distinct(), gene_sets, "pathway")
@@ -83,13 +84,13 @@ def packed_scores(
     weights = set_weights(gene_sets)
     moments = gene_moments(x, n_spots)
     # genes without counts have mean 0 and need no row here
-    shift = moments.join(weights, "gene").groupBy("sample_id", "pathway").agg(
+    shift = moments.join(weights.hint("merge"), "gene").groupBy("sample_id", "pathway").agg(
         F.sum(F.col("weight") * F.col("mu") / F.col("sigma")).alias("shift"))
     sets = sizes.join(shift, ["sample_id", "pathway"], "left").groupBy("sample_id").agg(
         F.array_sort(F.collect_list(F.struct(
             "pathway", "scored", F.coalesce("shift", F.lit(0.0)).alias("shift"), "total_weight"))).alias("sets"))
     sets_of_gene = weights.groupBy("gene").agg(F.collect_list(F.struct("pathway", "weight")).alias("of"))
-    scaled = moments.join(sets_of_gene, "gene").select("sample_id", "gene", "sigma", "of")
+    scaled = moments.join(sets_of_gene.hint("merge"), "gene").select("sample_id", "gene", "sigma", "of")
     part = (
         x.join(scaled, ["sample_id", "gene"])
         .select(*SPOT, (F.col("x") / F.col("sigma")).alias("xs"), F.inline("of"))
