@@ -17,9 +17,13 @@ from spotlake.session import materialise
 
 
 def position_by_number(df: DataFrame, group: Sequence[str], key: str, out: str, width: int = 65536) -> DataFrame:
-    """0-based position by a unique integer ``key``; buckets are equal ranges of the key."""
+    """0-based position by a unique integer ``key``; buckets are equal ranges of the key.
+
+    The number of partitions is given, since rows of two keys are so small that Spark would put all of them into one task.
+    """
     group = list(group)
-    bucketed = df.withColumn("__b", F.floor(F.col(key) / F.lit(width)).cast("bigint"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = df.withColumn("__b", F.floor(F.col(key) / F.lit(width)).cast("bigint")).repartition(tasks, *group, "__b")
     counts = bucketed.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
     inside = Window.partitionBy(*group, "__b").orderBy(key)
     return (

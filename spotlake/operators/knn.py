@@ -92,7 +92,9 @@ def _nearest_in_slide(slide: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _leaf_join(pts: DataFrame, k: int, leaf_size: int) -> DataFrame:
-    leaf_size = max(leaf_size, k + 2)
+    # the radius of a query is its k-th distance inside its leaf: in a leaf of k points it would reach far beyond the k nearest
+    leaf_size = max(leaf_size, 4 * (k + 2))
+    pts = materialise(pts)  # read by every step
     reps, stacked = pts, None
     grid = _grid(reps, leaf_size)
     fullest = _fullest(grid)
