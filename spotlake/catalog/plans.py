@@ -156,7 +156,8 @@ def _(b: Bindings):
     """The kinds of files come from a listing of the folder that the tables are written to."""
     root = work_path(b.spark, "samples")
     for kind, table in (("features", b.features), ("spots", b.obs), ("genes", b.var)):
-        tables.write_by_sample(table, f"{root}/{kind}")
+        # dealt by sample, in a few parts each, for a few files of each sample
+        tables.write_by_sample(table.hint("rebalance", "sample_id"), f"{root}/{kind}")
     listed = listing.sample_files(listing.commit_listing(b.spark, root, work_path(b.spark, "listing")))
     files = listed.withColumn("sample_id", F.col("sample_id").cast(b.samples.schema["sample_id"].dataType))
     full = studies.full_sample_card(card(b), b.images, b.scalefactors, files)

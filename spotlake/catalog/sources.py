@@ -179,8 +179,8 @@ def _(b: Bindings):
     root = work_path(b.spark, "runs")
     cells = runs.latest_cells(b.metrics_long)
     even = F.substring_index("run_name", "_", -1).cast("bigint") % 2 == 0
-    cells.filter(even).write.partitionBy("run_name").parquet(f"{root}/table")
-    cells.filter(~even).write.partitionBy("run_name").option("header", True).csv(f"{root}/log")
+    run_files.by_run(cells.filter(even)).write.partitionBy("run_name").parquet(f"{root}/table")
+    run_files.by_run(cells.filter(~even)).write.partitionBy("run_name").option("header", True).csv(f"{root}/log")
     return run_files.read_run_metrics(b.spark, root)
 
 
@@ -227,7 +227,7 @@ def _(b: Bindings):
 @query("src_19_csv_to_table", "SELECT run_name, count(*) AS n, sum(value) AS total FROM d_cells GROUP BY 1", r="total", i="n")
 def _(b: Bindings):
     root = work_path(b.spark, "convert")
-    runs.latest_cells(b.metrics_long).write.partitionBy("run_name").option("header", True).csv(f"{root}/log")
+    run_files.by_run(runs.latest_cells(b.metrics_long)).write.partitionBy("run_name").option("header", True).csv(f"{root}/log")
     run_files.csv_to_table(b.spark, root)
     return run_files.read_run_metrics(b.spark, root).groupBy("run_name").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
@@ -262,7 +262,7 @@ def _(b: Bindings):
  UNION SELECT 'single'""")
 def _(b: Bindings):
     root = work_path(b.spark, "runroot")
-    b.metrics_long.select("run_name", "epoch").write.partitionBy("run_name").parquet(root)
+    run_files.by_run(b.metrics_long.select("run_name", "epoch")).write.partitionBy("run_name").parquet(root)
     return run_files.discover_runs(b.spark, root, "/results/single", "*.parquet")
 
 

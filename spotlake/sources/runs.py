@@ -29,10 +29,18 @@ def read_run_metrics(spark: SparkSession, root: str) -> DataFrame:
     return table.unionByName(missing).select("run_name", "epoch", "metric", "value")
 
 
+def by_run(df: DataFrame) -> DataFrame:
+    """``df`` dealt by run, for writes with a folder per run: a file for each run, not one from every task.
+
+    The number of partitions is given: creating the files takes the time, not the rows, so few bytes are no reason for few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run_name")
+
+
 def csv_to_table(spark: SparkSession, root: str) -> None:
     """Convert the CSV logs into tables, replacing the tables of the same runs."""
     log = spark.read.schema(f"{METRICS_DDL}, run_name STRING").option("header", True).csv(f"{root}/log")
-    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_name").parquet(f"{root}/table")
+    by_run(log).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_name").parquet(f"{root}/table")
 
 
 def discover_runs(spark: SparkSession, root: str, explicit: str | None = None, pattern: str = "*") -> DataFrame:
