@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spotlake.operators.index import position_by_number
 from spotlake.plans.activities import Thresholds
+from spotlake.session import dealt
 
 LIMITS = Thresholds(min_umis=500, min_genes=20, max_mt=0.25, min_set_genes=5, min_pathways=25, k=6)
 
@@ -68,16 +69,19 @@ class Bindings:
 
     @cached_property
     def _items(self) -> DataFrame:
-        return (
-            self.t("lineitem").join(self.t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")))
+        # The files of orders, customers and parts are much smaller than their rows, and Spark goes by the file when it chooses
+        # a broadcast. They grow with the data, so they are dealt out and merged: the driver never holds one of them.
+        orders = dealt(self.t("orders").select("o_orderkey", "o_custkey"), "o_orderkey").hint("merge")
+        customers = dealt(self.t("customer").select("c_custkey", "c_nationkey"), "c_custkey").hint("merge")
+        return self.t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+            customers, F.col("o_custkey") == F.col("c_custkey"))
 
     @cached_property
     def expr(self) -> DataFrame:
         cells = self._items.filter(~((F.col("c_nationkey") % 5 == 4) & (F.col("l_partkey") % 2 == 1))).groupBy(
             F.col("c_nationkey").alias("sample_id"), F.col("c_custkey").alias("barcode"), "l_partkey").agg(
             F.sum("l_quantity").alias("count"))
-        return cells.join(self.genes, F.col("l_partkey") == F.col("p_partkey")).select(
+        return cells.join(dealt(self.genes, "p_partkey").hint("merge"), F.col("l_partkey") == F.col("p_partkey")).select(
             "sample_id", "barcode", "gene", "count")
 
     @cached_property
@@ -110,7 +114,7 @@ class Bindings:
     @cached_property
     def spot_predictions(self) -> DataFrame:
         """Complete predictions: every spot has one row per gene type."""
-        per_type = self.expr.join(self.genes.select("gene", "p_type"), "gene").groupBy(
+        per_type = self.expr.join(dealt(self.genes.select("gene", "p_type"), "gene").hint("merge"), "gene").groupBy(
             "sample_id", "barcode", F.col("p_type").alias("pathway")).agg(F.sum("count").alias("s"))
         types = self.genes.agg(F.array_sort(F.collect_set("p_type"))).scalar()
         full = self.obs.select("sample_id", "barcode", F.explode(types).alias("pathway")).join(

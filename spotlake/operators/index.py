@@ -28,7 +28,7 @@ def position_by_number(df: DataFrame, group: Sequence[str], key: str, out: str,
     inside = Window.partitionBy(*group, "__b").orderBy(key)
     return (
         bucketed.withColumn("__r", F.row_number().over(inside) - 1)
-        .join(_offsets(counts, group), [*group, "__b"])
+        .join(_offsets(counts, group).hint("merge"), [*group, "__b"])  # else the rows may be broadcast, by the size of their file
         .withColumn(out, (F.col("__off") + F.col("__r")).cast("bigint"))
         .drop("__b", "__off", "__r")
     )

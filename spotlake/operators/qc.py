@@ -20,7 +20,7 @@ def spot_metrics(obs: DataFrame, expr: DataFrame, mt_rule: str = "prefix") -> Da
     )
     return (
         obs.select(*SPOT)
-        .join(sums, SPOT, "left")
+        .join(sums.hint("merge"), SPOT, "left")  # spots grow with the data, so neither side is broadcast
         .na.fill({"umis": 0.0, "n_genes": 0, "mt_counts": 0.0})
         .withColumn("mt_frac", F.col("mt_counts") / (F.col("umis") + F.lit(1e-9)))
     )
@@ -51,7 +51,7 @@ def passing_spots(
     Without a mitochondrial gene every share is 0, so that test then passes by itself.
     """
     kept = spot_metrics(obs, expr).filter(passes(min_umis, min_genes, max_mt)).select(*SPOT)
-    return obs.join(kept, SPOT, "left_semi")
+    return obs.join(kept.hint("merge"), SPOT, "left_semi")
 
 
 def passing_counts(
@@ -88,7 +88,7 @@ def passing_spots_of(
     if (min_umis or 0) <= 0 and (min_genes or 0) <= 0:
         return passing_spots(obs, expr, min_umis, min_genes, max_mt)
     kept = counts.filter(F.col("gene").isNotNull()).select(*SPOT).distinct()
-    return obs.join(kept, SPOT, "left_semi")
+    return obs.join(kept.hint("merge"), SPOT, "left_semi")
 
 
 def empty_samples(obs: DataFrame, kept: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spotlake.functions.aggregates import centred_square_sum
 from spotlake.functions.scalars import log_normalised
 from spotlake.operators.align import with_each
+from spotlake.session import dealt
 
 SPOT = ["sample_id", "barcode"]
 
@@ -30,7 +31,7 @@ def last_symbols(expr: DataFrame, var: DataFrame) -> DataFrame:
     Both tables carry the position ``pos`` of the row in ``var``. What goes is the short list of earlier rows, so
     the counts meet it in an anti join and are not grouped; a last row without a count in a spot means 0 there.
     """
-    rows = var.select("sample_id", "gene", "pos").distinct()
+    rows = dealt(var.select("sample_id", "gene", "pos"), "sample_id", "gene").distinct()
     last = rows.groupBy("sample_id", "gene").agg(F.max("pos").alias("__last"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     earlier = rows.join(last, ["sample_id", "gene"]).filter("pos < __last").select("sample_id", "gene", "pos")
     return expr.join(earlier, ["sample_id", "gene", "pos"], "left_anti")
@@ -55,7 +56,7 @@ def set_weights(gene_sets: DataFrame) -> DataFrame:
     file is much smaller than its rows, so joins by gene are merge joins: the driver never holds it for a broadcast.
     """
     weight = F.sum("weight") if "weight" in gene_sets.columns else F.count(F.lit(1)).cast("double")
-    return gene_sets.groupBy("pathway", "gene").agg(F.count(F.lit(1)).alias("times"), weight.alias("weight"))
+    return dealt(gene_sets, "gene").groupBy("pathway", "gene").agg(F.count(F.lit(1)).alias("times"), weight.alias("weight"))
 
 
 def set_sizes(samples: DataFrame, var: DataFrame, gene_sets: DataFrame, min_genes: int = 5) -> DataFrame:
@@ -63,7 +64,8 @@ def set_sizes(samples: DataFrame, var: DataFrame, gene_sets: DataFrame, min_gene
 
     A set without any member present is listed with 0 genes.
     """
-    present = var.select("sample_id", "gene").distinct().join(set_weights(gene_sets).hint("merge"), "gene").groupBy("sample_id", "pathway").agg(
+    panels = dealt(var.select("sample_id", "gene"), "gene").distinct()
+    present = panels.join(set_weights(gene_sets).hint("merge"), "gene").groupBy("sample_id", "pathway").agg(
         F.sum("times").alias("n_genes"), F.sum("weight").alias("total_weight"))
     return (
         with_each(samples.select("sample_id").distinct(), gene_sets, "pathway")
