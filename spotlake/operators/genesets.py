@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spotlake.session import dealt
+
 
 def _merged(gene_sets: DataFrame, order: str, pick) -> DataFrame:
     chosen = gene_sets.groupBy("pathway").agg(pick(order).alias(order))
@@ -46,11 +48,11 @@ def matched_per_set(gene_sets: DataFrame, genes: DataFrame) -> DataFrame:
 
 def sample_coverage(gene_sets: DataFrame, var: DataFrame) -> DataFrame:
     """Share of the distinct collection genes that each sample measures."""
-    wanted = gene_sets.select("gene").distinct()
+    wanted = dealt(gene_sets.select("gene"), "gene").distinct()
     total = wanted.agg(F.count(F.lit(1))).scalar()
     return (
-        var.select("sample_id", "gene").distinct()
-        .join(wanted.withColumn("__m", F.lit(1)), "gene", "left")
+        dealt(var.select("sample_id", "gene"), "gene").distinct()
+        .join(wanted.withColumn("__m", F.lit(1)).hint("merge"), "gene", "left")
         .groupBy("sample_id").agg(F.count("__m").alias("n_found"))
         .select("sample_id", "n_found", total.alias("n_wanted"),
                 F.try_divide(F.col("n_found").cast("double"), total).alias("coverage")))
@@ -58,8 +60,8 @@ def sample_coverage(gene_sets: DataFrame, var: DataFrame) -> DataFrame:
 
 def in_all(lists: DataFrame, item: str = "gene", owner: str = "sample_id") -> DataFrame:
     """Items that every owner has (n-way intersection, by counting)."""
-    pairs = lists.select(owner, item).distinct()
-    owners = pairs.select(owner).distinct().agg(F.count(F.lit(1))).scalar()
+    pairs = dealt(lists.select(owner, item), item).distinct()
+    owners = lists.select(owner).distinct().agg(F.count(F.lit(1))).scalar()
     return pairs.groupBy(item).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == owners).select(item)
 
 

@@ -54,3 +54,23 @@ def test_spots_are_not_broadcast_by_quality_control(b):
     for df in (qc.passing_spots(b.obs, b.expr, 5, 1, 1.0), qc.passing_spots_of(b.obs, b.expr, counts, 5, 1, 1.0)):
         assert not re.search(r"BroadcastHashJoin \[(\w+#\d+L?, )*barcode", _plan(df))
         assert df.count() == 8
+
+
+def _partitions_of_panel(df, *keys) -> bool:
+    """Are the (sample, gene) rows dealt by ``keys`` into the given number of partitions?"""
+    by = ", ".join(rf"{k}#\d+L?" for k in keys)
+    return bool(re.search(rf"Exchange hashpartitioning\({by}, 4\), REPARTITION_BY_NUM", _plan(df)))
+
+
+def test_panel_rows_keep_their_partitions(spark, b):
+    assert _partitions_of_panel(genesets.in_all(b.var), "gene")
+    assert _partitions_of_panel(genesets.sample_coverage(b.gene_sets, b.var), "gene")
+    assert _partitions_of_panel(scoring.set_sizes(b.obs, b.var, b.gene_sets), "gene")
+    assert {r.gene for r in genesets.in_all(b.var).collect()} == {f"MT-{i}" for i in range(2, 31, 2)}
+    assert {(r.sample_id, r.n_found, r.n_wanted) for r in genesets.sample_coverage(b.gene_sets, b.var).collect()} == {(0, 30, 30), (4, 15, 30)}
+
+
+def test_panel_lists_with_repeats_and_nulls(spark):
+    lists = spark.createDataFrame([(0, "a"), (0, "a"), (1, "a"), (0, "b"), (None, "a"), (1, None), (0, None), (None, None)], "sample_id INT, gene STRING")
+    assert {r.gene for r in genesets.in_all(lists.where("sample_id IS NOT NULL")).collect()} == {"a", None}
+    assert {r.gene for r in genesets.in_all(lists).collect()} == {"a", None}
