@@ -9,7 +9,7 @@ from spotlake.functions.aggregates import centred_square_sum, morans, pearson
 from spotlake.functions.scalars import clipped_at_zero
 from spotlake.operators.knn import knn_edges
 from spotlake.operators.tiles import gene_sums, spot_tiles, with_halo
-from spotlake.session import materialise
+from spotlake.session import dealt, materialise
 
 SPOT = ["sample_id", "barcode"]
 
@@ -23,6 +23,7 @@ def gene_morans(
     ``k + 1`` spots, constant genes and genes without counts get 0. ``values`` has one row for each spot and gene;
     those of spots outside the universe are left out. ``edges`` is a materialised table. Counts are moved by tile, not by edge.
     """
+    spots = materialise(spots.select(*SPOT, "x", "y"))  # read by the search, the tiles and the counts
     # the edges (k per spot) serve the tiles and their halo: search them once
     edges = materialise(knn_edges(spots, k).select(*SPOT, "neighbor")) if edges is None else edges
     n_spots = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
@@ -30,7 +31,7 @@ def gene_morans(
     m, n = F.col("m"), F.col("n").cast("double")
     statistic = morans(F.col("cross"), F.col("lagged"), F.col("mean") * m / n, centred_square_sum(F.col("mean"), F.col("square_sum") / m, m, n), k)
     return (
-        var.select("sample_id", "gene").distinct().join(n_spots, "sample_id")
+        dealt(var.select("sample_id", "gene"), "sample_id", "gene").distinct().join(n_spots, "sample_id")
         .join(sums, ["sample_id", "gene"], "left")
         .select("sample_id", "gene",
                 F.when((F.col("n") < k + 1) | F.col("m").isNull(), F.lit(0.0)).otherwise(statistic).alias("morans_i")))

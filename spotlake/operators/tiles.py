@@ -11,12 +11,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotlake.operators.index import position
-from spotlake.session import materialise
+from spotlake.session import dealt
 
 SPOT = ["sample_id", "barcode"]
 TILE = 1024  # spots
@@ -80,11 +80,13 @@ def gene_sums(values: DataFrame, members: DataFrame) -> DataFrame:
         return pa.table({"sample_id": pa.array([table.column("sample_id")[0].as_py()] * len(found["gene"]), table.schema.field("sample_id").type), **found})
 
     schema = T.StructType([sample, gene, *[T.StructField(c, T.DoubleType()) for c in ("m", "mean", "square_sum", "cross", "lagged")]])
-    parts = materialise(rows.groupBy("sample_id", "tile").applyInArrow(sums, schema))  # a row for each tile and gene, read twice
     keys = ["sample_id", "gene"]
-    whole = parts.groupBy(*keys).agg(F.try_divide(F.sum(F.col("m") * F.col("mean")), F.sum("m")).alias("centre"))
+    # a row for each tile and gene, moved once for the centre and the sums
+    parts = dealt(rows.groupBy("sample_id", "tile").applyInArrow(sums, schema).dropna(subset=keys), *keys)
+    of_gene = Window.partitionBy(*keys)
+    parts = parts.withColumn("centre", F.try_divide(F.sum(F.col("m") * F.col("mean")).over(of_gene), F.sum("m").over(of_gene)))
     apart = F.col("mean") - F.col("centre")
-    return parts.join(whole, keys).groupBy(*keys).agg(
+    return parts.groupBy(*keys).agg(
         F.sum("m").alias("m"), F.first("centre").alias("mean"), F.sum(F.col("square_sum") + F.col("m") * apart * apart).alias("square_sum"),
         F.sum("cross").alias("cross"), F.sum("lagged").alias("lagged")).where("m > 0")
 

@@ -74,3 +74,14 @@ def test_panel_lists_with_repeats_and_nulls(spark):
     lists = spark.createDataFrame([(0, "a"), (0, "a"), (1, "a"), (0, "b"), (None, "a"), (1, None), (0, None), (None, None)], "sample_id INT, gene STRING")
     assert {r.gene for r in genesets.in_all(lists.where("sample_id IS NOT NULL")).collect()} == {"a", None}
     assert {r.gene for r in genesets.in_all(lists).collect()} == {"a", None}
+
+
+def test_gene_sums_move_the_tiles_once(spark):
+    """One shuffle by (sample, gene) for the centre and the sums, no written table between."""
+    values = spark.createDataFrame([("a", i, f"g{i % 3}", float(i)) for i in range(1, 9)], "sample_id STRING, barcode INT, gene STRING, x DOUBLE")
+    members = spark.createDataFrame([("a", i // 3, i, []) for i in range(1, 9)], "sample_id STRING, tile BIGINT, barcode INT, neighbors ARRAY<INT>")
+    sums = tiles.gene_sums(values, members)
+    plan = _plan(sums)
+    assert "FlatMapGroupsInArrow" in plan and len(re.findall(r"Exchange hashpartitioning\(sample_id#\d+, gene#\d+, 4\), REPARTITION_BY_NUM", plan)) == 1
+    got = {r.gene: (r.m, r.mean, r.square_sum) for r in sums.collect()}
+    assert got == {"g0": (2, 4.5, pytest.approx(4.5)), "g1": (3, 4.0, pytest.approx(18)), "g2": (3, 5.0, pytest.approx(18))}
