@@ -14,6 +14,8 @@ def build_vocabulary(
     svg_weight: float = 0.0, k: int = 6,
 ) -> DataFrame:
     """(pos, gene, total_counts, morans_i, priority). Moran's I is computed only when it has weight."""
+    if svg_weight > 0:
+        expr = materialise(expr.select("sample_id", "barcode", "gene", "count"))  # read for the totals and for Moran's I
     totals = ranking.gene_totals(expr)
     if svg_weight > 0:
         values = expr.select("sample_id", "barcode", "gene", F.col("count").alias("x"))

@@ -85,3 +85,23 @@ def test_gene_sums_move_the_tiles_once(spark):
     assert "FlatMapGroupsInArrow" in plan and len(re.findall(r"Exchange hashpartitioning\(sample_id#\d+, gene#\d+, 4\), REPARTITION_BY_NUM", plan)) == 1
     got = {r.gene: (r.m, r.mean, r.square_sum) for r in sums.collect()}
     assert got == {"g0": (2, 4.5, pytest.approx(4.5)), "g1": (3, 4.0, pytest.approx(18)), "g2": (3, 5.0, pytest.approx(18))}
+
+
+def test_vocabulary_reads_the_counts_once(spark, b):
+    from spotlake.plans.vocabulary import build_vocabulary
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    plain = b.expr
+    expr = plain.mapInArrow(counted, plain.schema)
+    got = build_vocabulary(b.obs, b.var, expr, None, 5, 0.5, 2).orderBy("pos").collect()
+    assert seen.value == plain.count() and [r.pos for r in got] == list(range(5))
+    want = plain.groupBy("gene").agg(F.sum("count").alias("n")).collect()
+    assert {r.gene: r.total_counts for r in got}.items() <= {r.gene: r.n for r in want}.items()
+    means = moran.mean_gene_morans(moran.gene_morans(b.obs, plain.withColumnRenamed("count", "x"), b.var, 2)).collect()
+    assert {r.gene: pytest.approx(r.morans_i) for r in got} == {r.gene: r.morans_i for r in means if r.gene in {g.gene for g in got}}
