@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from spotlake.catalog import load
 from spotlake.catalog.bindings import Bindings
 from spotlake.operators import genesets, moran, qc, scoring, tiles
 
@@ -105,3 +106,13 @@ def test_vocabulary_reads_the_counts_once(spark, b):
     assert {r.gene: r.total_counts for r in got}.items() <= {r.gene: r.n for r in want}.items()
     means = moran.mean_gene_morans(moran.gene_morans(b.obs, plain.withColumnRenamed("count", "x"), b.var, 2)).collect()
     assert {r.gene: pytest.approx(r.morans_i) for r in got} == {r.gene: r.morans_i for r in means if r.gene in {g.gene for g in got}}
+
+
+@pytest.mark.parametrize("name", [
+    "agg_06_scored_pathways", "agg_16_pathway_ranges", "fil_13_min_pathways", "fil_13_rejected_samples", "plan_01_activity_attributes"])
+def test_sample_queries_broadcast_slides_only(spark, b, name):
+    """Left to file sizes, the plan broadcasts customers, genes and spots; the driver may hold one row for each slide."""
+    plan = _plan(load()[0][name](spark, b.sf_dir))
+    keys = re.findall(r"BroadcastHashJoin \[(.*?)\], \[", plan)
+    assert all(re.fullmatch(r"sample_id#\d+L?", k) for k in keys), keys
+    assert plan.count("BroadcastNestedLoopJoin") <= 1  # the panel on every slide
