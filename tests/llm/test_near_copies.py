@@ -104,6 +104,57 @@ def test_every_pair_at_the_limit_among_full_values(spark, bucket):
     assert len(linked) > 100 and found >= 0.99 * len(linked), f"{found} of {len(linked)}"
 
 
+def pairs_at_the_limit(draw):
+    """200 texts of 20 to 60 words, each with a copy that shares exactly 0.8, or the next share above it; no two others are alike."""
+    texts = []
+    for i in range(200):
+        words = [f"p{i}_{draw.randrange(10**6)}" for _ in range(draw.randrange(20, 60))]
+        shingles = len(words) - 4
+        texts += [" ".join(words), " ".join(words[:4 + -(-4 * shingles // 5)])]
+    return texts
+
+
+def test_pairs_at_the_limit_whose_fingerprints_do_not_meet(spark):
+    texts = pairs_at_the_limit(random.Random(7))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(4)
+    root = {r.doc_id: r.root for r in near_copies.near_copy_groups(docs).collect()}
+    assert all(brute([(0, texts[i]), (1, texts[i + 1])]) == [0, 0] for i in range(0, 400, 2))
+    found = sum(root[i] == root[i + 1] for i in range(0, 400, 2))
+    assert found == 200 and len(set(root.values())) == 200, f"{found} of 200"
+
+
+@pytest.mark.parametrize("bucket", [1, 16])
+def test_nothing_is_left_out_when_no_fingerprints_meet(spark, monkeypatch, bucket):
+    """All that leaders and balls find is dropped; the exact join alone gives the groups of brute force."""
+    monkeypatch.setattr(near_copies, "_near", lambda pairs, texts: pairs.where("false"))
+    draw = random.Random(bucket)
+    base = [f"w{draw.randrange(300)}" for _ in range(160)]
+    rows = [edited(base, draw, draw.choice([0, 1, 2, 3, 4, 5, 6])) for _ in range(80)]
+    rows += [draw.choice(rows)[:draw.choice([130, 140, 150])] for _ in range(20)] + [["a"], ["a"], [], ["A"], ["a", "b", "c", "d", "e", "f"]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    rows += list(enumerate(pairs_at_the_limit(draw)[:100], len(rows)))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    least = {}
+    got = near_copies.near_copy_groups(docs, bucket=bucket).collect()
+    for r in got:
+        least[r.root] = min(least.get(r.root, r.doc_id), r.doc_id)
+    assert {r.doc_id: least[r.root] for r in got} == dict(zip([d for d, _ in rows], brute(rows), strict=True))
+
+
+@pytest.mark.parametrize("share", [0.8, 0.5])
+def test_early_shingles_of_near_sets_meet(share):
+    draw = random.Random(9)
+    for _ in range(4000):
+        both, one, two = draw.randrange(1, 120), draw.randrange(0, 40), draw.randrange(0, 40)
+        if both < share * (both + one + two):
+            continue
+        every = draw.sample(range(10**6), both + one + two)
+        sets = [sorted(every[:both + one]), sorted(every[:both] + every[both + one:])]
+        early = [set(near_copies.early_shingles(near_copies.np.array(s), share).tolist()) for s in sets]
+        for s in sets:
+            assert len(early[0] & early[1]) >= near_copies._met(near_copies._least_common(len(s), share), share) >= 1
+
+
 def test_drop_keeps_one_row_of_each_group(tricky, tricky_rows):
     out = near_copies.drop_near_copies(tricky)
     assert out.columns == tricky.columns
