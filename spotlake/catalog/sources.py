@@ -227,7 +227,7 @@ def _(b: Bindings):
 @query("src_19_csv_to_table", "SELECT run_name, count(*) AS n, sum(value) AS total FROM d_cells GROUP BY 1", r="total", i="n")
 def _(b: Bindings):
     root = work_path(b.spark, "convert")
-    run_files.by_run(runs.latest_cells(b.metrics_long)).write.partitionBy("run_name").option("header", True).csv(f"{root}/log")
+    run_files.write_shared_log(runs.latest_cells(b.metrics_long), root)
     run_files.csv_to_table(b.spark, root)
     return run_files.read_run_metrics(b.spark, root).groupBy("run_name").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

@@ -1,10 +1,16 @@
 """Writes and positions are dealt out by their keys, whatever the number of bytes."""
 
 import os
+from datetime import datetime, timedelta
 
+import pytest
+from pyspark.errors import AnalysisException
+
+from spotlake.catalog import load
 from spotlake.llm.near_copies import SEGMENTS, fetched_pairs
 from spotlake.operators.index import position_by_number
 from spotlake.operators.knn import knn_edges
+from spotlake.session import shared_dir
 from spotlake.sources import runs
 
 
@@ -17,6 +23,64 @@ def test_a_run_is_one_file(spark, tmp_path):
     assert runs.read_run_metrics(spark, str(tmp_path)).count() == 400
 
 
+def test_many_runs_share_files(spark, tmp_path):
+    """Files do not follow the number of runs, and the rows are those of the events."""
+    spark.range(2000).selectExpr("id AS event_id", "timestamp_seconds(id * 7200) AS ts", "nullif(id % 500, 499) AS user_id", "'view' AS event_type",
+                                 "CAST(id AS DOUBLE) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    found = load()[0]["src_19_csv_to_table"](spark, str(tmp_path)).collect()
+    home = f"{shared_dir(spark)}/work-{spark.sparkContext.applicationId}"
+    newest = max((f for f in os.listdir(home) if f.startswith("convert-")), key=lambda f: os.path.getmtime(f"{home}/{f}"))
+    assert sum(len(folders) + len(files) for _, folders, files in os.walk(f"{home}/{newest}")) < 500
+    days = {}
+    for i in range(2000):
+        run = None if i % 500 == 499 else f"run_{i % 500}"
+        day = (datetime(1970, 1, 1) + timedelta(seconds=7200 * i)).day
+        days[run, day] = float(i)  # later events win
+    want = {}
+    for (run, _), v in days.items():
+        n, total = want.get(run, (0, 0.0))
+        want[run] = (n + 1, total + v)
+    assert {r.run_name: (r.n, r.total) for r in found if r.run_name} == {k: v for k, v in want.items() if k}
+
+
+def test_shared_runs_are_replaced(spark, tmp_path):
+    root, ddl = str(tmp_path), "run_name STRING, epoch INT, metric STRING, value DOUBLE"
+
+    def log(runs_, value, shared=True, at=root):
+        df = spark.createDataFrame([(r, e, "loss", value) for r in runs_ for e in range(2)], ddl)
+        if shared:
+            runs.write_shared_log(df, at)
+        else:
+            df.write.partitionBy("run_name").option("header", True).csv(f"{at}/log")
+
+    def move(name, to):
+        os.rename(f"{root}/{name}", f"{root}/{to}")
+
+    def read():
+        rows = runs.read_run_metrics(spark, root).collect()
+        assert len(rows) == 2 * len({r.run_name for r in rows})
+        return {r.run_name: r.value for r in rows}
+
+    log([" a, \"b\" ", "c", "d"], 1.0)
+    assert read() == {" a, \"b\" ": 1.0, "c": 1.0, "d": 1.0}  # logs alone
+    runs.csv_to_table(spark, root)
+    move("shared_log", "old_1")
+    log(["c", "e"], 2.0)
+    runs.csv_to_table(spark, root)
+    move("shared_log", "old_2")
+    assert read() == {" a, \"b\" ": 1.0, "c": 2.0, "d": 1.0, "e": 2.0}
+    log(["d", "f"], 3.0, shared=False)
+    runs.csv_to_table(spark, root)  # d gets a folder, which counts
+    move("log", "old_3")
+    assert read() == {" a, \"b\" ": 1.0, "c": 2.0, "d": 3.0, "e": 2.0, "f": 3.0}
+    log(["f", "c"], 4.0)
+    runs.csv_to_table(spark, root)  # f keeps its folder
+    move("shared_log", "old_4")
+    assert read() == {" a, \"b\" ": 1.0, "c": 4.0, "d": 3.0, "e": 2.0, "f": 4.0}
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        runs.csv_to_table(spark, f"{root}/nowhere")
+
+
 def test_positions_use_all_partitions(spark):
     df = spark.range(3000).selectExpr("CAST(id % 40 AS INT) AS g", "id AS k")
     placed = position_by_number(df, ["g"], "k", "pos", width=500)
